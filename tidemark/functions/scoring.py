@@ -64,8 +64,8 @@ RATIONALE_BOTH = (
     "while MCD-DD discrepancy (%.4f) exceeded its threshold by %.1f%%."
 )
 RATIONALE_FIRST_ONLY = (
-    "DriftLens alarmed (ratio: %.2f) due to cumulative distribution shift away from the fixed reference baseline. "
-    "MCD-DD did not alarm (ratio: %.2f <= 1.0) because its 10-window rolling context adapts to gradual transitions."
+    "DriftLens alarmed (ratio: %.2f) due to cumulative distribution shift away from the fixed %s baseline. "
+    "MCD-DD did not alarm (ratio: %.2f <= 1.0) because its %d-window rolling context adapts to gradual transitions."
 )
 RATIONALE_SECOND_ONLY = (
     "MCD-DD alarmed (ratio: %.2f) due to high discrepancy against its immediate contrastive context windows. "
@@ -75,7 +75,7 @@ RATIONALE_SECOND_ONLY = (
 RATIONALE_NEITHER = "Neither detector observed significant distribution movement beyond normal random variation."
 
 
-def rationale() -> Column:
+def rationale(baseline: str = "April 2020", context_windows: int = 10) -> Column:
     """Sentence for a compared row (`driftlens_*` and `mcddd_*` columns)."""
     first, second = F.coalesce("driftlens_alarm", F.lit(False)), F.coalesce("mcddd_alarm", F.lit(False))
     first_ratio = F.coalesce("driftlens_ratio", F.lit(0.0))
@@ -87,7 +87,8 @@ def rationale() -> Column:
     return (
         F.when(first & second, F.format_string(RATIONALE_BOTH, F.col("driftlens_score"), excess(first_ratio),
                                                F.col("mcddd_score"), excess(second_ratio)))
-        .when(first, F.format_string(RATIONALE_FIRST_ONLY, first_ratio, second_ratio))
+        .when(first, F.format_string(RATIONALE_FIRST_ONLY, first_ratio, F.lit(baseline), second_ratio,
+                                     F.lit(context_windows)))
         .when(second, F.format_string(RATIONALE_SECOND_ONLY, second_ratio, first_ratio))
         .otherwise(F.lit(RATIONALE_NEITHER))
     )
