@@ -176,7 +176,7 @@ def window_distances(vectors: DataFrame, model: FrechetModel) -> DataFrame:
 def driftlens_score(vectors: DataFrame, model: FrechetModel) -> DataFrame:
     """Score, calibrated threshold for the sample size used, and alarm (strictly above) per window."""
     distances = cut_lineage(window_distances(vectors, model))
-    thresholds = calibrate(model, distances.select(F.col("n_used").alias("size")))
+    thresholds = calibrate(model, distances.filter("n_used >= 2").select(F.col("n_used").alias("size")))
     joined = distances.join(sized(thresholds), distances["n_used"] == thresholds["size"], "left").drop("size")
     alarm = F.coalesce(F.col("driftlens_score") > F.col("threshold"), F.lit(False))
     return joined.select(
