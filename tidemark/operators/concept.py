@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions import vectors as vx
 from tidemark.operators import bootstrap as bs
 from tidemark.operators.contexts import context_frame, context_pairs
-from tidemark.operators.ranking import order_key
+from tidemark.operators.ranking import global_rank, order_key
 from tidemark.operators.sampling import holdout_split, sample_per_window
 from tidemark.operators.vectors import fit_scaler, matrix_of
 from tidemark.operators.windowing import positions
@@ -92,25 +92,25 @@ class ConceptModel:
     meta: dict = field(default_factory=dict)
 
 
-def sub_windows(rows: DataFrame, n: int, order: str = "order_key") -> DataFrame:
+def sub_windows(rows: DataFrame, n: int, order: tuple[str, ...] = ("post_id",)) -> DataFrame:
     """`sub_window` 0..n-1: the window itself when there are several, else contiguous equal slices.
 
-    Slice sizes differ by at most one, the larger slices first; ranks come from hash buckets, so the
-    single group is never sorted in one task.
+    Slice sizes differ by at most one, the larger slices first. The global rank works by range
+    partitions, so a single huge group is never sorted in one task.
     """
-    from tidemark.operators.ranking import POOLED, pooled, rank_by_hash
-
     total = rows.select(F.count("*").alias("total"), F.countDistinct("window_id").alias("windows")).first()
     if total["windows"] >= 2:
         ids = sized(positions(rows, 0).select("window_id", F.col("position").alias("sub_window")))
         return rows.join(ids, "window_id")
-    k = max(min(n, total["total"]), 1)
-    small, larger = divmod(total["total"], k)
+    return equal_slices(rows, total["total"], n, order)
+
+
+def equal_slices(rows: DataFrame, total: int, n: int, order: tuple[str, ...]) -> DataFrame:
+    small, larger = divmod(total, max(min(n, total), 1))
     edge = larger * (small + 1)
-    ranked = rank_by_hash(pooled(rows), [POOLED], "slice_rank").drop(POOLED)
     rank = F.col("slice_rank")
-    slice_no = F.when(rank < edge, F.floor(rank / (small + 1))).otherwise(
-        larger + F.floor((rank - edge) / max(small, 1)))
+    slice_no = F.when(rank < edge, F.floor(rank / (small + 1))).otherwise(larger + F.floor((rank - edge) / max(small, 1)))
+    ranked = global_rank(rows, list(order), "slice_rank")
     return ranked.withColumn("sub_window", slice_no.cast("int")).drop("slice_rank")
 
 
