@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import vectors as vx
+from tidemark.functions.scoring import sig
 from tidemark.operators import bootstrap as bs
 from tidemark.operators.contexts import context_frame, context_pairs
 from tidemark.operators.ranking import global_rank, order_key
@@ -255,14 +256,19 @@ def max_discrepancy(concepts: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def raw_scores(stream: DataFrame, model: ConceptModel) -> DataFrame:
-    """Per stream window: largest discrepancy, its lag, the set size used and the context length."""
+def raw_scores(stream: DataFrame, model: ConceptModel, targets_only: DataFrame | None = None) -> DataFrame:
+    """Per stream window: largest discrepancy, its lag, the set size used and the context length.
+
+    With `targets_only` (window ids) the other stream windows serve as context and are not scored.
+    """
     c = model.params.context_windows
     sets = cut_lineage(scoring_sets(stream, model))
     per_window = sets.groupBy("window_id", "is_context").agg(F.count("*").alias("set_size"))
     placed = cut_lineage(positions(per_window, 0).drop("is_reference").join(per_window, "window_id"))
     targets = context_frame(placed.select("window_id", "position", "set_size"), c).join(
         placed.filter("NOT is_context").select("window_id"), "window_id", "left_semi")
+    if targets_only is not None:
+        targets = targets.join(targets_only.select("window_id"), "window_id", "left_semi")
     pairs = context_pairs(placed.select("window_id", "position"), c).join(
         targets.select("window_id", "size", "n_context"), "window_id")
     needed = pairs.select("window_id", "size").unionByName(pairs.select(F.col("context_id").alias("window_id"), "size"))
@@ -271,14 +277,12 @@ def raw_scores(stream: DataFrame, model: ConceptModel) -> DataFrame:
     return targets.select("window_id", "size", "n_context").join(max_discrepancy(concepts, pairs), "window_id", "left")
 
 
-def mcd_score(stream: DataFrame, model: ConceptModel) -> DataFrame:
+def mcd_score(stream: DataFrame, model: ConceptModel, targets_only: DataFrame | None = None) -> DataFrame:
     """Score, threshold for (size, context length), alarm and lag of every stream window.
 
     A window without context scores 0 without an alarm.
     """
-    from tidemark.functions.scoring import sig
-
-    raw = cut_lineage(raw_scores(stream, model))
+    raw = cut_lineage(raw_scores(stream, model, targets_only))
     full = min(model.params.scoring_sample_size, model.pool.size)
     keys = raw.select(
         F.when(F.col("n_context") > 0, F.col("size")).otherwise(F.lit(full)).alias("size"),
