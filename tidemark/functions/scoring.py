@@ -44,9 +44,15 @@ def agreement_code(agreement: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), agreement), F.lit(AGREEMENT_CODES["neither"]))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Text with fixed decimals; ties are decided on the exact binary value."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0"))
+
+
 def sig(value: Column, digits: int = 6) -> Column:
     """Round to significant digits (fixed decimals would flatten very small scores)."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits - 1}e", value).cast("double"))
+    pattern = "0." + "0" * (digits - 1) + "E0"
+    return F.call_function("format_number", value, F.lit(pattern)).cast("double")
 
 
 def throughput(posts: Column, latency_ms: Column) -> Column:
@@ -60,16 +66,16 @@ def change_type(first_ratio: Column, second_ratio: Column) -> Column:
 
 # The sentences of the detector rationale.
 RATIONALE_BOTH = (
-    "Both detectors agreed on drift. DriftLens FDD score (%.4f) exceeded its threshold by %.1f%%, "
-    "while MCD-DD discrepancy (%.4f) exceeded its threshold by %.1f%%."
+    "Both detectors agreed on drift. DriftLens FDD score (%s) exceeded its threshold by %s%%, "
+    "while MCD-DD discrepancy (%s) exceeded its threshold by %s%%."
 )
 RATIONALE_FIRST_ONLY = (
-    "DriftLens alarmed (ratio: %.2f) due to cumulative distribution shift away from the fixed %s baseline. "
-    "MCD-DD did not alarm (ratio: %.2f <= 1.0) because its %d-window rolling context adapts to gradual transitions."
+    "DriftLens alarmed (ratio: %s) due to cumulative distribution shift away from the fixed %s baseline. "
+    "MCD-DD did not alarm (ratio: %s <= 1.0) because its %d-window rolling context adapts to gradual transitions."
 )
 RATIONALE_SECOND_ONLY = (
-    "MCD-DD alarmed (ratio: %.2f) due to high discrepancy against its immediate contrastive context windows. "
-    "DriftLens remained quiet (ratio: %.2f <= 1.0) because the sample distribution remained within its "
+    "MCD-DD alarmed (ratio: %s) due to high discrepancy against its immediate contrastive context windows. "
+    "DriftLens remained quiet (ratio: %s <= 1.0) because the sample distribution remained within its "
     "conservative p99 baseline boundary."
 )
 RATIONALE_NEITHER = "Neither detector observed significant distribution movement beyond normal random variation."
@@ -82,14 +88,14 @@ def rationale(baseline: str = "April 2020", context_windows: int = 10) -> Column
     second_ratio = F.coalesce("mcddd_ratio", F.lit(0.0))
 
     def excess(r):
-        return (r - 1) * 100
+        return fixed((r - 1) * 100, 1)
 
+    two = [fixed(first_ratio, 2), fixed(second_ratio, 2)]
     return (
-        F.when(first & second, F.format_string(RATIONALE_BOTH, F.col("driftlens_score"), excess(first_ratio),
-                                               F.col("mcddd_score"), excess(second_ratio)))
-        .when(first, F.format_string(RATIONALE_FIRST_ONLY, first_ratio, F.lit(baseline), second_ratio,
-                                     F.lit(context_windows)))
-        .when(second, F.format_string(RATIONALE_SECOND_ONLY, second_ratio, first_ratio))
+        F.when(first & second, F.format_string(RATIONALE_BOTH, fixed(F.col("driftlens_score"), 4), excess(first_ratio),
+                                               fixed(F.col("mcddd_score"), 4), excess(second_ratio)))
+        .when(first, F.format_string(RATIONALE_FIRST_ONLY, two[0], F.lit(baseline), two[1], F.lit(context_windows)))
+        .when(second, F.format_string(RATIONALE_SECOND_ONLY, two[1], two[0]))
         .otherwise(F.lit(RATIONALE_NEITHER))
     )
 

@@ -159,7 +159,7 @@ def scenario_metrics(labelled: DataFrame, n_reference: int, tolerance: int = 3)
 
 
 def _percent(rate: str) -> Column:
-    return F.format_string("%.0f%%", F.col(rate) * 100)
+    return F.concat(scoring.fixed(F.col(rate) * 100, 0), F.lit("%"))
 
 
 def summary_rows(metrics: DataFrame, truth: DataFrame) -> DataFrame:

@@ -238,10 +238,10 @@ def _wide(metric):
 
 
 @query(sql=f"""
-with rates as ({_RATES}), delays as ({_DELAY}), overlaps as ({_MATRIX})
+with rates as ({_RATES}), delays as ({_DELAY}), agreed as ({_MATRIX})
 select r.scenario, {", ".join(_wide(m) for m in ("precision", "recall", "f1", "false_alarm_rate", "detection_delay"))},
   max(agreement_rate) as agreement_rate, max(disagreement_rate) as disagreement_rate
-from rates r join delays using (scenario, detector) join overlaps on overlaps.scenario = r.scenario group by r.scenario""")
+from rates r join delays using (scenario, detector) join agreed on agreed.scenario = r.scenario group by r.scenario""")
 def side_by_side(spark, sf_dir):
     labelled = _labelled(spark, sf_dir)
     table = ev.side_by_side(ev.detector_metrics(labelled, N), ev.agreement_matrix(labelled, N))

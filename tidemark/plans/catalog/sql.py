@@ -61,7 +61,7 @@ select {scenario} window_id, position, {iso(f"make_timestamp(window_id * {second
   case when mcddd_score is not null then cast(1 + top % 10 as integer) end as mcddd_lag,
   n as n_posts, least(n, 10) as n_used, position < 14 as is_reference, processing_latency_ms,
   round(n::double / (processing_latency_ms / 1e3), 2) as throughput_posts_per_sec
-from (select *, round(cents::double / (n::double * 1e5), 6) as driftlens_score,
+from (select *, ((cents * 20 + n) // (2 * n))::double / 1e6 as driftlens_score,
     case when position >= 14 and cents % 7 <> 0 then {sig("top::double / (cents::double / n::double)")} end as mcddd_score,
     round(n::double * 0.31::double + 0.5::double, 2) as processing_latency_ms
   from (select *, cast(row_number() over ({order}) - 1 as integer) as position from ({volumes})))"""

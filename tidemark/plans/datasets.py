@@ -81,7 +81,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _score_rows(grouped: DataFrame, position: Column, seconds: int) -> DataFrame:
     n, cents, top = F.col("n"), F.col("cents"), F.col("top")
-    score = F.round(cents / (n * 100000.0), 6)
+    score = F.expr("(cents * 20 + n) div (2 * n)") / 1e6        # mean value in units of 1e-6, rounded half up
     scored = (position >= N_REFERENCE) & (cents % 7 != 0)
     second = F.when(scored, sc.sig(top / (cents / n.cast("double"))))
     latency = F.round(n * F.lit(0.31) + F.lit(0.5), 2)
@@ -135,7 +135,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score rows under both field vocabularies, with missing and non-numeric fields (text scores)."""
     rows = scores(spark, sf_dir)
-    n, text = F.col("n_posts"), F.col("driftlens_score").cast("string")
+    n, text = F.col("n_posts"), sc.float_text(F.col("driftlens_score"))
     old = F.col("window_id") % 2 == 0
     missing = F.col("throughput_posts_per_sec")
     return rows.select(

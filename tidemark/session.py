@@ -19,6 +19,8 @@ def build_session(app: str = "tidemark", master: str | None = None,
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):       # the driver is the only executor then
+            builder = builder.config("spark.driver.memory", "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

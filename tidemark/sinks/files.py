@@ -28,8 +28,8 @@ def write_comparison(compared: DataFrame, summary: DataFrame, path: str) -> None
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, quotes doubled; NULL is empty."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header, quotes doubled, outer whitespace kept; NULL is empty."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def to_memory(df: DataFrame, name: str, output_mode: str = "append"):
