@@ -89,7 +89,7 @@ def test_calibration_paths_agree(model, spark):
     pool = bs.Pool(model.pool.frame, model.pool.groups, model.pool.counts, model.pool.width, limit=0)
     far = {(r["size"], r["draw"]): r["statistic"] for r in cd.calibration_scores(
         cd.ConceptModel(**{**vars(small), "pool": pool}), keys).collect()}
-    assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], rel=1e-9) for k in near)
+    assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], rel=1e-3) for k in near)
 
 
 def test_slices(spark, frame):

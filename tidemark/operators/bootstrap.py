@@ -40,8 +40,12 @@ class Pool:
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.counts)[:-1]]).astype(np.int64)
 
-    def fits(self, item_bytes: int = 8) -> bool:
-        return self.size * self.width * item_bytes <= self.limit
+    @property
+    def dtype(self):
+        return np.float32 if dict(self.frame.dtypes)["vec"] == "array<float>" else np.float64
+
+    def fits(self) -> bool:
+        return self.size * self.width * np.dtype(self.dtype).itemsize <= self.limit
 
     def matrix(self) -> np.ndarray:
         """All rows in position order; only for pools below the broadcast limit."""
@@ -49,7 +53,7 @@ class Pool:
             raise MemoryError("pool is above the broadcast limit")
         table = self.frame.select("grp", "order_key", "vec").toArrow()
         order = np.lexsort((table.column("order_key").to_numpy(), table.column("grp").to_numpy()))
-        return matrix_of(table.column("vec"))[order]
+        return matrix_of(table.column("vec"), self.dtype)[order]
 
     def shared(self, spark: SparkSession):
         if "matrix" not in self.cache:
@@ -76,22 +80,37 @@ def make_pool(frame: DataFrame, limit: int = BROADCAST_BYTES) -> Pool:
     return Pool(kept, sizes["grp"].to_numpy(), sizes["rows"].to_numpy(np.int64), width, limit)
 
 
-def run_draws(draws: DataFrame, pool: Pool, address: Callable, statistic: Callable, tasks: int | None = None) -> DataFrame:
+def _as_is(rows: np.ndarray) -> np.ndarray:
+    return rows
+
+
+def run_draws(draws: DataFrame, pool: Pool, address: Callable, statistic: Callable, prepare: Callable = _as_is) -> DataFrame:
     """`draws` (bigint key columns) with `statistic` of each draw.
 
-    address(key: dict) -> positions, shape (sets, size); statistic(rows: (sets, size, width)) -> float.
+    address(key: dict) -> positions, shape (sets, size); prepare(rows) maps rows one by one;
+    statistic(prepared rows: (sets, size, width)) -> float.
     """
     spark = draws.sparkSession
     keys = draws.columns
-    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
-    spread = draws.repartition(tasks, *keys)
+    spread = draws.repartition(spark.sparkContext.defaultParallelism, *keys)
+    dtype = pool.dtype
+
+    def prepared(rows: np.ndarray) -> np.ndarray:
+        return prepare(rows.reshape(-1, rows.shape[-1])).reshape(*rows.shape[:-1], -1)
+
     if pool.fits():
         shared = pool.shared(spark)
 
         def score(frames):
+            rows, whole, drawn = shared.value, None, 0
             for frame in frames:
-                values = [statistic(shared.value[address(dict(zip(keys, map(int, row))))])
-                          for row in frame[keys].itertuples(index=False)]
+                values = []
+                for row in frame[keys].itertuples(index=False):
+                    named = address(dict(zip(keys, map(int, row))))
+                    drawn += named.size
+                    if whole is None and drawn > len(rows):      # cheaper to prepare every row once
+                        whole = prepare(rows)
+                    values.append(statistic(prepared(rows[named]) if whole is None else whole[named]))
                 yield frame.assign(statistic=np.asarray(values, dtype=np.float64))
 
         return spread.mapInPandas(score, draws.select("*", F.lit(0.0).alias("statistic")).schema)
@@ -109,8 +128,8 @@ def run_draws(draws: DataFrame, pool: Pool, address: Callable, statistic: Callab
 
     def score_draw(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("slot").to_numpy())
-        rows = matrix_of(table.column("vec"))[order]
-        value = statistic(rows.reshape(int(table.column("sets")[0].as_py()), -1, rows.shape[1]))
+        rows = matrix_of(table.column("vec"), dtype)[order]
+        value = statistic(prepared(rows.reshape(int(table.column("sets")[0].as_py()), -1, rows.shape[1])))
         return pa.table({**{k: [table.column(k)[0].as_py()] for k in keys}, "statistic": [float(value)]})
 
     return slots.join(pool.positioned(), "pos").groupBy(*keys).applyInArrow(score_draw, f"{key_schema}, statistic double")

@@ -18,7 +18,7 @@ from tidemark.operators.ranking import global_rank, order_key
 from tidemark.operators.sampling import holdout_split, sample_per_window
 from tidemark.operators.vectors import fit_scaler, matrix_of
 from tidemark.operators.windowing import positions
-from tidemark.session import cut_lineage, sized
+from tidemark.session import cut_lineage, settle, sized
 
 
 @dataclass
@@ -87,7 +87,7 @@ class ConceptModel:
     std: np.ndarray
     members: list[dict]
     held: DataFrame                    # held-out reference rows (window_id, post_id, embedding)
-    pool: bs.Pool                      # item features of the held-out rows
+    pool: bs.Pool                      # the same rows, addressed for calibration draws
     thresholds: DataFrame | None = None       # (size, n_context, threshold)
     losses: list = field(default_factory=list)
     meta: dict = field(default_factory=dict)
@@ -115,25 +115,10 @@ def equal_slices(rows: DataFrame, total: int, n: int, order: tuple[str, ...]) ->
     return ranked.withColumn("sub_window", slice_no.cast("int")).drop("slice_rank")
 
 
-def feature_pool(held: DataFrame, mean: np.ndarray, std: np.ndarray, members: list[dict], seed: int) -> bs.Pool:
-    """Item features of the held-out rows, addressed by reference window."""
+def heldout_pool(held: DataFrame, seed: int) -> bs.Pool:
+    """Held-out rows addressed by reference window; item features are computed where they are drawn."""
     keyed = held.withColumn("order_key", order_key(seed, "window_id", "post_id", tie="post_id"))
-    shared = held.sparkSession.sparkContext.broadcast((mean, std, members))
-
-    def run(batches):
-        centre, scale, encoder = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            features = item_features((matrix_of(batch.column("embedding")) - centre) / scale, encoder)
-            offsets = pa.array(np.arange(0, features.size + 1, features.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("window_id"), batch.column("order_key"),
-                 pa.ListArray.from_arrays(offsets, pa.array(features.ravel()))], ["grp", "order_key", "vec"])
-
-    rows = keyed.select("window_id", "order_key", "embedding").mapInArrow(
-        run, f"grp {dict(held.dtypes)['window_id']}, order_key string, vec array<double>")
-    return bs.make_pool(rows)
+    return bs.make_pool(keyed.select(F.col("window_id").alias("grp"), "order_key", F.col("embedding").alias("vec")))
 
 
 def fit_concept(reference: DataFrame, params: ConceptParams = ConceptParams(), meta: dict | None = None) -> ConceptModel:
@@ -152,7 +137,7 @@ def fit_concept(reference: DataFrame, params: ConceptParams = ConceptParams(), m
 
         members, losses = train_encoder(split.filter("NOT is_heldout"), mean, std, members, params)
     held = split.filter("is_heldout").drop("is_heldout")
-    pool = feature_pool(held, mean, std, members, params.seed)
+    pool = heldout_pool(held, params.seed)
     return ConceptModel(params, mean, std, members, held, pool, losses=losses, meta=meta or {})
 
 
@@ -167,7 +152,7 @@ def calibration_regime(counts: np.ndarray, size: int, n_context: int) -> str:
 def calibration_scores(model: ConceptModel, keys: DataFrame) -> DataFrame:
     """Largest distance of the last of n_context + 1 in-distribution sets to the others, per draw."""
     counts, starts, total = model.pool.counts, model.pool.starts, model.pool.size
-    seed, members = model.params.seed, model.members
+    seed, members, mean, std = model.params.seed, model.members, model.mean, model.std
 
     def address(key: dict) -> np.ndarray:
         size, n_sets = key["size"], key["n_context"] + 1
@@ -180,13 +165,19 @@ def calibration_scores(model: ConceptModel, keys: DataFrame) -> DataFrame:
             return rng.choice(total, n_sets * size, replace=False).reshape(n_sets, size)
         return np.stack([rng.choice(total, size, replace=total < size) for _ in range(n_sets)])
 
+    single = [{name: part.astype(np.float32) for name, part in w.items()} for w in members]
+
+    def prepare(rows: np.ndarray) -> np.ndarray:
+        return item_features(((rows - mean) / std).astype(np.float32), single)
+
     def statistic(features: np.ndarray) -> float:
-        concepts = concept_vectors(features.mean(axis=1), members)
+        share = np.full((1, features.shape[1]), 1.0 / features.shape[1], dtype=np.float32)
+        concepts = concept_vectors(np.matmul(share, features)[:, 0, :].astype(np.float64), members)
         return float(np.linalg.norm(concepts[:-1] - concepts[-1], axis=1).max())
 
     draws = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(model.params.n_calibration - 1).cast("long")))
     wanted = keys.select(F.col("size").cast("long").alias("size"), F.col("n_context").cast("long").alias("n_context"))
-    return bs.run_draws(wanted.distinct().select("size", "n_context", draws.alias("draw")), model.pool, address, statistic)
+    return bs.run_draws(wanted.distinct().select("size", "n_context", draws.alias("draw")), model.pool, address, statistic, prepare)
 
 
 def calibrate(model: ConceptModel, keys: DataFrame) -> DataFrame:
@@ -195,7 +186,7 @@ def calibrate(model: ConceptModel, keys: DataFrame) -> DataFrame:
     wanted = keys.select(F.col("size").cast("long").alias("size"), F.col("n_context").cast("long").alias("n_context")).distinct()
     missing = wanted if known is None else wanted.join(known, ["size", "n_context"], "left_anti")
     fresh = bs.p_threshold(calibration_scores(model, missing), ["size", "n_context"], model.params.percentile)
-    model.thresholds = cut_lineage(fresh if known is None else known.unionByName(fresh))
+    model.thresholds = settle(fresh if known is None else known.unionByName(fresh))
     return model.thresholds
 
 
@@ -264,7 +255,7 @@ def raw_scores(stream: DataFrame, model: ConceptModel, targets_only: DataFrame |
     c = model.params.context_windows
     sets = cut_lineage(scoring_sets(stream, model))
     per_window = sets.groupBy("window_id", "is_context").agg(F.count("*").alias("set_size"))
-    placed = cut_lineage(positions(per_window, 0).drop("is_reference").join(per_window, "window_id"))
+    placed = settle(positions(per_window, 0).drop("is_reference").join(per_window, "window_id"))
     targets = context_frame(placed.select("window_id", "position", "set_size"), c).join(
         placed.filter("NOT is_context").select("window_id"), "window_id", "left_semi")
     if targets_only is not None:
@@ -273,7 +264,7 @@ def raw_scores(stream: DataFrame, model: ConceptModel, targets_only: DataFrame |
         targets.select("window_id", "size", "n_context"), "window_id")
     needed = pairs.select("window_id", "size").unionByName(pairs.select(F.col("context_id").alias("window_id"), "size"))
     sizes = needed.groupBy("window_id").agg(F.array_sort(F.collect_set("size")).alias("sizes"))   # at most C + 1 each
-    concepts = cut_lineage(encode_sets(sets, sized(sizes), model))
+    concepts = settle(encode_sets(sets, sized(sizes), model))
     return targets.select("window_id", "size", "n_context").join(max_discrepancy(concepts, pairs), "window_id", "left")
 
 
@@ -282,7 +273,7 @@ def mcd_score(stream: DataFrame, model: ConceptModel, targets_only: DataFrame |
 
     A window without context scores 0 without an alarm.
     """
-    raw = cut_lineage(raw_scores(stream, model, targets_only))
+    raw = settle(raw_scores(stream, model, targets_only))
     full = min(model.params.scoring_sample_size, model.pool.size)
     keys = raw.select(
         F.when(F.col("n_context") > 0, F.col("size")).otherwise(F.lit(full)).alias("size"),

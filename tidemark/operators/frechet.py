@@ -13,7 +13,7 @@ from tidemark.operators import bootstrap as bs
 from tidemark.operators.ranking import order_key
 from tidemark.operators.sampling import sample_per_window, split_reference
 from tidemark.operators.vectors import Moments, matrix_of, pooled_moments, project
-from tidemark.session import cut_lineage, sized
+from tidemark.session import cut_lineage, settle, sized
 
 
 @dataclass
@@ -146,7 +146,7 @@ def calibrate(model: FrechetModel, sizes: DataFrame) -> DataFrame:
     wanted = sizes.select(F.least("size", F.lit(model.pool.size)).cast("long").alias("size")).distinct()
     missing = wanted if known is None else wanted.join(known, "size", "left_anti")
     fresh = bs.p_threshold(calibration_scores(model, missing), ["size"], model.params.percentile)
-    model.thresholds = cut_lineage(fresh if known is None else known.unionByName(fresh))
+    model.thresholds = settle(fresh if known is None else known.unionByName(fresh))
     return model.thresholds
 
 
@@ -175,7 +175,7 @@ def window_distances(vectors: DataFrame, model: FrechetModel) -> DataFrame:
 
 def driftlens_score(vectors: DataFrame, model: FrechetModel) -> DataFrame:
     """Score, calibrated threshold for the sample size used, and alarm (strictly above) per window."""
-    distances = cut_lineage(window_distances(vectors, model))
+    distances = settle(window_distances(vectors, model))
     thresholds = calibrate(model, distances.filter("n_used >= 2").select(F.col("n_used").alias("size")))
     joined = distances.join(sized(thresholds), distances["n_used"] == thresholds["size"], "left").drop("size")
     alarm = F.coalesce(F.col("driftlens_score") > F.col("threshold"), F.lit(False))

@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input comes in fewer splits (small single-file tables).
+
+    Tables with at least as many splits as cores are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _by_type(mapping: dict, default) -> Column:
     column = F.lit(default)
     for name, value in mapping.items():
@@ -30,7 +39,7 @@ def _by_type(mapping: dict, default) -> Column:
 
 def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with the document it posts."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     events = table(spark, sf_dir, "events").withColumn("doc_id", F.col("event_id") % F.lit(documents.count()))
     return events.join(documents, "doc_id").withColumn("stamp", F.substring(F.col("ts").cast("string"), 1, 19))
 
@@ -70,7 +79,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with its vector, in daily windows."""
     stored = table(spark, sf_dir, "embeddings")
-    events = table(spark, sf_dir, "events").withColumn("vec_id", F.col("event_id") % F.lit(stored.count()))
+    events = spread(table(spark, sf_dir, "events")).withColumn("vec_id", F.col("event_id") % F.lit(stored.count()))
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     return events.join(stored, "vec_id").select(
         F.floor(seconds / DAY).cast("long").alias("window_id"),

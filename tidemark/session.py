@@ -1,5 +1,6 @@
 """Session settings, lineage cuts and the size check behind every broadcast."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,15 +45,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` once on shared storage, so later passes see the very same rows."""
+    """Materialise rows once as a table in the shared folder, so later passes see the very same rows.
+
+    Unlike `checkpoint()` this computes the plan once, and readers get column pruning and real sizes.
+    The tables live briefly, so no dictionaries are built. All tables of a session lie under one folder
+    named after the application.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame of aggregates (per window, per key): few rows, cheap last stage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a per-window or per-key frame and mark it for broadcast only if it is small.
+    """Checkpoint a per-window or per-key frame and mark it for broadcast only if it is small.
 
     Beyond `max_rows` the frame is returned unmarked and Spark joins it by shuffle.
     """
-    kept = cut_lineage(df)
+    kept = settle(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
