@@ -99,7 +99,7 @@ def gaussian_stats(vectors: DataFrame, by: str, column: str = "embedding") -> Da
     """Per group: n, mean vector and covariance (N-1) as a row-major array (d x d values)."""
     sums = moment_sums(vectors, by, column)
     heads = sums.filter("i = -1").select(
-        "grp", F.col("v")[0].cast("long").alias("n"), F.slice("v", 2, MAX_DIMENSION).alias("total")
+        "grp", F.round(F.col("v")[0]).cast("long").alias("n"), F.slice("v", 2, MAX_DIMENSION).alias("total")
     )
     mean = F.transform("total", lambda t: t / F.col("n"))
     heads = heads.select("grp", "n", mean.alias("mean"))
@@ -129,7 +129,7 @@ def pooled_moments(vectors: DataFrame, column: str = "embedding") -> Moments:
         return Moments(0, np.empty(0), np.empty((0, 0)))
     if len(rows) - 1 > MAX_DIMENSION:
         raise ValueError(f"vectors wider than {MAX_DIMENSION} dimensions are not supported")
-    n, total = int(rows[-1][0]), rows[-1][1:]
+    n, total = round(rows[-1][0]), rows[-1][1:]
     product = np.vstack([rows[i][1:] for i in range(len(total))])
     mean = total / n
     return Moments(n, mean, (product - n * np.outer(mean, mean)) / max(n - 1, 1))
