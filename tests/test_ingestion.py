@@ -172,24 +172,29 @@ def expected_order(rows, seed):
     return {w: [r["post_id"] for r in sorted(g, key=key)] for w, g in groups.items()}
 
 
-def test_samples_match_brute_force(skewed):
+BOTH_PATHS = pytest.mark.parametrize("plain_rows", [rk.PLAIN_GROUP_ROWS, 0])       # 0 forces the bucket path
+
+
+@BOTH_PATHS
+def test_samples_match_brute_force(skewed, plain_rows):
     order = expected_order(skewed.collect(), 5)
     got = {}
-    for r in sp.sample_per_window(skewed, 100, 5).orderBy("rn").collect():
+    for r in sp.sample_per_window(skewed, 100, 5, plain_rows=plain_rows).orderBy("rn").collect():
         got.setdefault(r["window_id"], []).append(r["post_id"])
     assert got == {w: ids[:100] for w, ids in order.items()}
 
 
-def test_splits_match_brute_force(skewed):
+@BOTH_PATHS
+def test_splits_match_brute_force(skewed, plain_rows):
     order = expected_order(skewed.collect(), 5)
-    got = {r["post_id"]: r["is_heldout"] for r in sp.holdout_split(skewed, 0.35, 5).collect()}
+    got = {r["post_id"]: r["is_heldout"] for r in sp.holdout_split(skewed, 0.35, 5, plain_rows=plain_rows).collect()}
     for ids in order.values():
         n = round(len(ids) * 0.35)
         assert [got[i] for i in ids] == [True] * n + [False] * (len(ids) - n)
-    pooled = sp.split_reference(skewed, 0.5, 5)
+    pooled = sp.split_reference(skewed, 0.5, 5, plain_rows=plain_rows)
     assert pooled.filter("is_threshold").count() == 1500
-    assert sp.split_reference(skewed, 0.0, 5).filter("is_threshold").count() == 0
-    assert sp.split_reference(skewed, 1.0, 5).filter("is_threshold").count() == 3000
+    assert sp.split_reference(skewed, 0.0, 5, plain_rows=plain_rows).filter("is_threshold").count() == 0
+    assert sp.split_reference(skewed, 1.0, 5, plain_rows=plain_rows).filter("is_threshold").count() == 3000
 
 
 def test_ranks_are_permutations(skewed):

@@ -63,8 +63,9 @@ class Pool:
     def positioned(self) -> DataFrame:
         """(pos, vec) for the join path."""
         if "positioned" not in self.cache:
-            ranked = rank_by_hash(self.frame, ["grp"])
-            sizes = self.frame.groupBy("grp").agg(F.count("*").alias("rows"))
+            kept = cut_lineage(self.frame)          # ranked by counts and by rows: both must see the same table
+            ranked = rank_by_hash(kept, ["grp"])
+            sizes = kept.groupBy("grp").agg(F.count("*").alias("rows"))
             starts = sizes.select(     # one row per reference window
                 "grp", (F.sum("rows").over(Window.orderBy("grp")) - F.col("rows")).alias("start"))
             self.cache["positioned"] = ranked.join(F.broadcast(starts), "grp").select(
@@ -72,12 +73,13 @@ class Pool:
         return self.cache["positioned"]
 
 
-def make_pool(frame: DataFrame, limit: int = BROADCAST_BYTES) -> Pool:
-    """Materialise the pool rows and read their layout (one number per reference window)."""
-    kept = cut_lineage(frame)
-    sizes = kept.groupBy("grp").agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("width")).orderBy("grp").toPandas()
-    width = int(sizes["width"].max()) if len(sizes) else 0
-    return Pool(kept, sizes["grp"].to_numpy(), sizes["rows"].to_numpy(np.int64), width, limit)
+def make_pool(frame: DataFrame, width: int, sizes: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> Pool:
+    """Pool over a deterministic frame of materialised rows.
+
+    The layout is one number per reference window; `sizes` may give the same rows without their vectors.
+    """
+    rows = (frame if sizes is None else sizes).groupBy("grp").agg(F.count("*").alias("rows")).orderBy("grp").toPandas()
+    return Pool(frame, rows["grp"].to_numpy(), rows["rows"].to_numpy(np.int64), width, limit)
 
 
 def _as_is(rows: np.ndarray) -> np.ndarray:

@@ -115,10 +115,10 @@ def equal_slices(rows: DataFrame, total: int, n: int, order: tuple[str, ...]) ->
     return ranked.withColumn("sub_window", slice_no.cast("int")).drop("slice_rank")
 
 
-def heldout_pool(held: DataFrame, seed: int) -> bs.Pool:
+def heldout_pool(held: DataFrame, width: int, seed: int) -> bs.Pool:
     """Held-out rows addressed by reference window; item features are computed where they are drawn."""
     keyed = held.withColumn("order_key", order_key(seed, "window_id", "post_id", tie="post_id"))
-    return bs.make_pool(keyed.select(F.col("window_id").alias("grp"), "order_key", F.col("embedding").alias("vec")))
+    return bs.make_pool(keyed.select(F.col("window_id").alias("grp"), "order_key", F.col("embedding").alias("vec")), width)
 
 
 def fit_concept(reference: DataFrame, params: ConceptParams = ConceptParams(), meta: dict | None = None) -> ConceptModel:
@@ -137,7 +137,7 @@ def fit_concept(reference: DataFrame, params: ConceptParams = ConceptParams(), m
 
         members, losses = train_encoder(split.filter("NOT is_heldout"), mean, std, members, params)
     held = split.filter("is_heldout").drop("is_heldout")
-    pool = heldout_pool(held, params.seed)
+    pool = heldout_pool(held, len(mean), params.seed)
     return ConceptModel(params, mean, std, members, held, pool, losses=losses, meta=meta or {})
 
 
@@ -192,11 +192,8 @@ def calibrate(model: ConceptModel, keys: DataFrame) -> DataFrame:
 
 def init_context(model: ConceptModel) -> DataFrame:
     """Held-out rows of the last C reference windows, sampled to the scoring size."""
-    ids = positions(model.held, 0)
-    last = ids.select("window_id", F.col("position")).join(
-        ids.agg((F.max("position") - model.params.context_windows).alias("cut")), F.col("position") > F.col("cut")
-    ).select("window_id")
-    rows = model.held.join(sized(last), "window_id")
+    last = [int(g) for g in model.pool.groups[-model.params.context_windows:]]       # C window ids
+    rows = model.held.filter(F.col("window_id").isin(last))
     return sample_per_window(rows, model.params.scoring_sample_size, model.params.seed)
 
 
@@ -264,7 +261,7 @@ def raw_scores(stream: DataFrame, model: ConceptModel, targets_only: DataFrame |
         targets.select("window_id", "size", "n_context"), "window_id")
     needed = pairs.select("window_id", "size").unionByName(pairs.select(F.col("context_id").alias("window_id"), "size"))
     sizes = needed.groupBy("window_id").agg(F.array_sort(F.collect_set("size")).alias("sizes"))   # at most C + 1 each
-    concepts = settle(encode_sets(sets, sized(sizes), model))
+    concepts = cut_lineage(encode_sets(sets, sized(sizes), model))
     return targets.select("window_id", "size", "n_context").join(max_discrepancy(concepts, pairs), "window_id", "left")
 
 

@@ -3,11 +3,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import scoring, text as tx, vectors as vx
 from tidemark.operators import compare as cmp
-from tidemark.session import sized
+from tidemark.operators.vectors import mean_pool
+from tidemark.session import cut_lineage, sized
 
 TOP_TERMS = 8
 EXAMPLES = 4
 SUMMARY_TERMS = 4
+NO_TERM = ""      # never a token
+
+
+def _counts_with_texts(posts: DataFrame) -> DataFrame:
+    """Occurrences per (window, term) in one pass; the term NO_TERM counts the texts of the window."""
+    marked = F.concat(F.array(F.lit(NO_TERM)), tx.tokenize(F.col("text")))
+    tokens = posts.select("window_id", F.explode(marked).alias("term"))
+    return tokens.groupBy("window_id", "term").agg(F.count("*").alias("n"))
 
 
 def term_counts(posts: DataFrame) -> DataFrame:
@@ -46,8 +55,9 @@ def keyword_shift(posts: DataFrame, pairs: DataFrame, n: int = TOP_TERMS) -> Dat
     Frequency = occurrences / number of texts (at least 1); emerging terms need two occurrences after,
     fading ones two before. `rank` counts from 1, the strongest first.
     """
-    shifts = term_shift_join(term_counts(posts), pairs)
-    sizes = posts.groupBy("window_id").agg(F.count("*").alias("n_texts"))
+    counts = cut_lineage(_counts_with_texts(posts))          # the posts are read once
+    shifts = term_shift_join(counts.filter(F.col("term") != NO_TERM), pairs)
+    sizes = counts.filter(F.col("term") == NO_TERM).select("window_id", F.col("n").alias("n_texts"))
     # Pairs of the window lists only: two small joins, not a join of the terms.
     texts = sized(
         pairs.join(sizes.withColumnRenamed("n_texts", "n_after"), "window_id", "left")
@@ -79,8 +89,6 @@ def first_k(posts: DataFrame, k: int = EXAMPLES) -> DataFrame:
 
 def centroid_k(vectors: DataFrame, k: int = EXAMPLES) -> DataFrame:
     """The `k` posts of every window closest (cosine) to the window's mean vector."""
-    from tidemark.operators.vectors import mean_pool
-
     centres = sized(mean_pool(vectors).withColumnRenamed("mean", "centre"))
     order = Window.partitionBy("window_id").orderBy(F.desc("similarity"), "post_id")
     similarity = F.round(vx.cosine(F.col("embedding"), F.col("centre")), 6)
@@ -100,13 +108,17 @@ def _keyword_lists(shifts: DataFrame) -> DataFrame:
 
 
 def explain(scores: DataFrame, posts: DataFrame, baseline: str = "April 2020") -> DataFrame:
-    """One explanation row per window: metrics, sentence, before/after, keywords, examples, change type."""
+    """One explanation row per window: metrics, sentence, before/after, keywords, examples, change type.
+
+    The posts are materialised once and read for the keywords and for the examples.
+    """
+    posts = cut_lineage(posts.select("window_id", "event_time", "post_id", "text"))
     compared = cmp.compare(scores)
     used = scores.select("window_id", F.coalesce("n_used", F.lit(0)).alias("n_used"))
     records = sized(cmp.with_previous(compared).join(used, "window_id"))
     pairs = records.select("window_id", "before_window_id")
     keywords = _keyword_lists(keyword_shift(posts, pairs))
-    examples = first_k(posts.select("window_id", "event_time", "post_id", "text")).groupBy("window_id").agg(
+    examples = first_k(posts).groupBy("window_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("found")
     ).select("window_id", F.col("found.text").alias("texts"))
     after = examples.select("window_id", F.col("texts").alias("after_examples"))

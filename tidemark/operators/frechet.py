@@ -98,19 +98,21 @@ def fit_frechet(reference: DataFrame, params: FrechetParams = FrechetParams(), m
                                         params.threshold_fraction, params.seed))
     held = split.filter("is_threshold")
     baseline = pooled_moments(split.filter("NOT is_threshold"))
-    n_held = held.count()
-    if baseline.n < 2 or n_held < 2:
-        raise ValueError(f"reference set too small ({baseline.n + n_held} vectors)")
+    if baseline.n < 2:
+        raise ValueError("reference set too small: fewer than two vectors in the baseline part")
     basis, variances, share = fit_pca(baseline, params.pca_components)
-    return FrechetModel(params, baseline.mean, basis, share, variances,
-                        threshold_pool(held, baseline.mean, basis, params.seed), meta=meta or {})
+    pool = threshold_pool(held, baseline.mean, basis, params.seed)
+    if pool.size < 2:
+        raise ValueError("reference set too small: fewer than two vectors in the threshold part")
+    return FrechetModel(params, baseline.mean, basis, share, variances, pool, meta=meta or {})
 
 
 def threshold_pool(held: DataFrame, mean: np.ndarray, basis: np.ndarray, seed: int) -> bs.Pool:
     """Projected held-out rows with their reference window."""
     keyed = held.withColumn("order_key", order_key(seed, "window_id", "post_id", tie="post_id"))
     rows = project(keyed.select("window_id", "order_key", "embedding"), mean, basis)
-    return bs.make_pool(rows.select(F.col("window_id").alias("grp"), "order_key", F.col("embedding").alias("vec")))
+    frame = rows.select(F.col("window_id").alias("grp"), "order_key", F.col("embedding").alias("vec"))
+    return bs.make_pool(frame, len(basis), held.select(F.col("window_id").alias("grp")))
 
 
 def calibration_draws(sizes: DataFrame, n_draws: int) -> DataFrame:
@@ -175,7 +177,7 @@ def window_distances(vectors: DataFrame, model: FrechetModel) -> DataFrame:
 
 def driftlens_score(vectors: DataFrame, model: FrechetModel) -> DataFrame:
     """Score, calibrated threshold for the sample size used, and alarm (strictly above) per window."""
-    distances = settle(window_distances(vectors, model))
+    distances = cut_lineage(window_distances(vectors, model))
     thresholds = calibrate(model, distances.filter("n_used >= 2").select(F.col("n_used").alias("size")))
     joined = distances.join(sized(thresholds), distances["n_used"] == thresholds["size"], "left").drop("size")
     alarm = F.coalesce(F.col("driftlens_score") > F.col("threshold"), F.lit(False))

@@ -10,6 +10,7 @@ from tidemark.session import cut_lineage, sized
 
 BUCKET_DIGITS = 4          # 65,536 buckets per group
 POOLED = "pooled_key"      # constant group used when the whole frame is one group
+PLAIN_GROUP_ROWS = 200_000  # groups up to this size are ranked directly; larger ones go by buckets
 
 
 def order_key(seed, *parts: str, tie: str) -> Column:
@@ -40,32 +41,41 @@ def _edges(keys: DataFrame, group: list[str], quota: Column) -> DataFrame:
     )
 
 
-def take_lowest(df: DataFrame, group: list[str], n: int) -> DataFrame:
+def largest_group(df: DataFrame, group: list[str]) -> int:
+    """Rows of the largest group (a count that reads the group columns only)."""
+    sizes = df.groupBy(*group).agg(F.count("*").alias("group_rows"))
+    return sizes.agg(F.max("group_rows")).first()[0] or 0
+
+
+def take_lowest(df: DataFrame, group: list[str], n: int, plain_rows: int = PLAIN_GROUP_ROWS) -> DataFrame:
     """At most `n` rows of every group, those with the lowest `order_key`, numbered `rn` from 1.
 
-    Rows above each group's edge bucket are dropped before the shuffle, so the ranked part holds
-    about n rows per group plus one bucket.
+    With a group above `plain_rows`, rows above each group's edge bucket are dropped before the shuffle,
+    so the ranked part holds about n rows per group plus one bucket.
     """
-    edges = sized(_edges(df.select(*group, "order_key"), group, F.lit(n)).select(*group, "edge"))
+    if largest_group(df, group) > plain_rows:
+        edges = sized(_edges(df.select(*group, "order_key"), group, F.lit(n)).select(*group, "edge"))
+        df = df.join(edges, group).filter(_bucket() <= F.col("edge")).drop("edge")
     ranked = Window.partitionBy(*group).orderBy("order_key")
-    return (
-        df.join(edges, group).filter(_bucket() <= F.col("edge")).drop("edge")
-        .withColumn("rn", F.row_number().over(ranked)).filter(F.col("rn") <= n)
-    )
+    return df.withColumn("rn", F.row_number().over(ranked)).filter(F.col("rn") <= n)
 
 
-def split_lowest(df: DataFrame, group: list[str], quota: Column, flag: str) -> DataFrame:
+def split_lowest(df: DataFrame, group: list[str], quota: Column, flag: str, plain_rows: int = PLAIN_GROUP_ROWS) -> DataFrame:
     """All rows, with `flag` true for the `quota` rows of lowest `order_key` in every group.
 
-    Exact: the quota-th key of each group is looked up in its edge bucket, then compared on the map
-    side, so the payload is not shuffled.
+    `quota` may use `group_rows`. With a group above `plain_rows`, the quota-th key of each group is
+    looked up in its edge bucket and compared on the map side, so the payload is not shuffled.
     """
+    by_group = Window.partitionBy(*group)
+    if largest_group(df, group) <= plain_rows:
+        placed = df.withColumns({
+            "rn": F.row_number().over(by_group.orderBy("order_key")), "group_rows": F.count("*").over(by_group)})
+        return placed.withColumn(flag, F.col("rn") <= quota).drop("rn", "group_rows")
     keys = df.select(*group, "order_key")
     edges = sized(_edges(keys, group, quota).drop("group_rows"))
     at_edge = keys.join(edges, group).filter(_bucket() == F.col("edge"))
-    ranked = Window.partitionBy(*group).orderBy("order_key")
     cutoffs = sized(
-        at_edge.withColumn("rn", F.row_number().over(ranked)).filter("rn = wanted")
+        at_edge.withColumn("rn", F.row_number().over(by_group.orderBy("order_key"))).filter("rn = wanted")
         .select(*group, F.col("order_key").alias("cutoff"))
     )
     return (
