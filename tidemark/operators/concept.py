@@ -45,9 +45,6 @@ class ConceptParams:
     seed: int = 42
 
 
-LAYERS = ("item_w", "item_b", "mix_w", "mix_b", "set_w", "set_b", "out_w", "out_b")
-
-
 def init_weights(dim: int, params: ConceptParams) -> list[dict]:
     """Uniform +-1/sqrt(fan-in) weights and biases, one seeded start per ensemble member."""
     h, o = params.hidden_dim, params.output_dim
