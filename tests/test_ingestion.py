@@ -215,3 +215,17 @@ def test_fingerprint_ignores_order_and_sees_changes(spark, skewed):
     changed = wd.fingerprint(skewed.withColumn("post_id", F.when(F.col("post_id") == "p5", "q").otherwise(F.col("post_id"))),
                              ["window_id", "post_id"]).first()
     assert a == b and a != changed
+
+
+def test_samples_are_cut_before_the_shuffle(skewed):
+    plan = sp.sample_per_window(skewed, 1000, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_period_filter_reaches_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([("2020-04-19T00:00:00", 1), ("2020-05-31T23:00:00", 2), ("2020-06-01T00:00:00", 3)], "window_start string, n int")
+    rows.write.parquet(str(tmp_path / "p"))
+    kept = wd.in_period(spark.read.parquet(str(tmp_path / "p")), "2020-04-19", "2020-05-31")
+    assert [r["n"] for r in kept.orderBy("n").collect()] == [1, 2]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(window_start,2020-04-19)" in plan and "LessThan(window_start,2020" in plan

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import concept as cd, embedding as em, explain as ex, frechet as fd, windowing as wd
 from tidemark.plans import scoring
+from tidemark.session import shared_folder
 from tidemark.sinks import models
 from tidemark.sources.windows import read_json_stream, read_windows
 from tidemark.streaming import progress, windows as sw
@@ -106,6 +108,16 @@ def test_scores_follow_the_stream_without_duplicates(spark, vectors, tmp_path):
                 (r["mcddd_score"], r["mcddd_threshold"], r["mcddd_lag"]), rel=1e-4)
 
 
+def test_micro_batches_leave_no_temporary_tables(spark, vectors, tmp_path):
+    def tables():
+        root = Path(shared_folder(spark).removeprefix("file:")) / f"tidemark-{spark.sparkContext.applicationId}"
+        return {p.name for p in root.iterdir()} if root.exists() else set()
+
+    before = tables()
+    StreamScorer(spark, str(tmp_path / "s"), 5, FRECHET, None).process(vectors, 0)
+    assert tables() == before and spark.read.json(str(tmp_path / "s" / "scores")).count() == 10
+
+
 def test_models_are_reused_only_when_everything_matches(spark, vectors, tmp_path):
     path, ids = str(tmp_path / "m"), [1, 2, 3, 4, 5]
     reference = vectors.filter("window_id <= 5")

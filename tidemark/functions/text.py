@@ -29,6 +29,7 @@ now like get new one also even still well way
 """.split()
 
 MIN_TOKEN_LENGTH = 3
+ASCII_WHITESPACE = " \t\n\x0b\f\r"
 REPLACEMENT_CHARACTER = "�"
 
 
@@ -38,8 +39,8 @@ def clean_text(text: Column) -> Column:
 
 
 def strip_whitespace(text: Column) -> Column:
-    """Trim every kind of ASCII whitespace (`trim` alone removes spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim every kind of ASCII whitespace (`trim` alone removes spaces only); looks at both ends only."""
+    return F.btrim(text, F.lit(ASCII_WHITESPACE))
 
 
 def is_blank(text: Column) -> Column:

@@ -4,6 +4,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.functions import scoring, timestamps as ts
 
 
+# Fixed value: pipeline tag of records that carry none.
+DEFAULT_PIPELINE = "cdd-stream"
+
+
 def normalise_scores(df: DataFrame) -> DataFrame:
     """Resolve the alternative field names and defaults of score rows once."""
     latency = F.coalesce("processing_latency_ms", F.lit(0.0))
@@ -30,7 +34,7 @@ def normalise_scores(df: DataFrame) -> DataFrame:
         latency.alias("processing_latency_ms"),
         F.when((given <= 0) & (latency > 0) & (posts > 0), F.round(scoring.throughput(posts, latency), 2))
         .otherwise(given).alias("throughput_posts_per_sec"),
-        "cpu_pct", "mem_mb", F.coalesce("pipeline", F.lit("cdd-stream")).alias("pipeline"),
+        "cpu_pct", "mem_mb", F.coalesce("pipeline", F.lit(DEFAULT_PIPELINE)).alias("pipeline"),
     )
 
 

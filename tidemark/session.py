@@ -1,11 +1,14 @@
 """Session settings, lineage cuts and the size check behind every broadcast."""
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Largest row count of a key-and-number frame that is sent to every executor (some tens of MB).
 BROADCAST_ROWS = 500_000
+_owned: ContextVar[list | None] = ContextVar("tables of the running block", default=None)
 
 
 def build_session(app: str = "tidemark", master: str | None = None,
@@ -17,6 +20,7 @@ def build_session(app: str = "tidemark", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -54,9 +58,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    if _owned.get() is not None:
+        _owned.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Remove the tables that `cut_lineage` wrote inside the block; results must be written before it ends.
+
+    For long-running streams, whose micro-batches would otherwise fill the shared folder.
+    """
+    token = _owned.set([])
+    try:
+        yield
+    finally:
+        for path in _owned.get():
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _owned.reset(token)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint a frame of aggregates (per window, per key): few rows, cheap last stage."""
     shared_folder(df.sparkSession)

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_options(servers: str, topic: str, starting_offsets: str = "earliest",
-                 group_prefix: str = "cdd-spark", max_offsets_per_trigger: int = 0) -> dict[str, str]:
+                 group_prefix: str = "tidemark", max_offsets_per_trigger: int = 0) -> dict[str, str]:
     """Reader options; a rate cap of 0 means unlimited."""
     options = {
         "kafka.bootstrap.servers": servers,
