@@ -58,7 +58,7 @@ def repeats(docs, length):
             if seen[b[p:p + length]] > 1:
                 gone[p:p + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        out[i] = (len(b), sum(gone), len(re.findall(rb"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+        out[i] = (len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
     return out
 
 

@@ -4,7 +4,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat, contamination, minhash, quality
+from tidemark.llm import bpe, chat, contamination, minhash, quality, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -68,6 +68,14 @@ def op6_chat(spark, sf_dir):
                        F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+@query()
+def op7_suffix(spark, sf_dir):
+    """Every document without the bytes of repeated 200-byte strings."""
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"),
+                        F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 @query()
 def op9_minhash(spark, sf_dir):
     """Near-duplicate documents on two-word shingles."""
