@@ -1,8 +1,10 @@
 """Session settings, lineage cuts and the size check behind every broadcast."""
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
 from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,6 +33,20 @@ def build_session(app: str = "tidemark", master: str | None = None,
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it from anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tidemark-package-")) / "tidemark_package.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._tidemark_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`, or a scratch folder in local mode."""
     context = spark.sparkContext
