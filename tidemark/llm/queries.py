@@ -4,7 +4,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat, contamination, minhash, quality, suffixes
+from tidemark.llm import bpe, chat, contamination, minhash, quality, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -87,3 +87,11 @@ def op10_quality(spark, sf_dir):
     """Counts and verdict of the quality rules for every document."""
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+@query()
+def op2_toxicity(spark, sf_dir):
+    """Toxicity of every document; labels of one fold are never read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = toxicity.held_out(table(spark, sf_dir, "labels")).where("not held_out").select("doc_id", "toxic")
+    return toxicity.held_out(toxicity.score(docs, toxicity.fit(docs, labels)))
