@@ -4,7 +4,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat, contamination, minhash, quality, suffixes, toxicity
+from tidemark.llm import bpe, chat, contamination, html, langid, minhash, quality, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -95,3 +95,16 @@ def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = toxicity.held_out(table(spark, sf_dir, "labels")).where("not held_out").select("doc_id", "toxic")
     return toxicity.held_out(toxicity.score(docs, toxicity.fit(docs, labels)))
+
+
+@query()
+def op1_html(spark, sf_dir):
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query()
+def op8_langid(spark, sf_dir):
+    """Language of every document, learned from two of three folds."""
+    docs = langid.held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return langid.held_out(langid.predict(docs, langid.fit(docs.where("not held_out"))))
