@@ -4,7 +4,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat, contamination, html, langid, minhash, quality, suffixes, toxicity
+from tidemark.llm import bpe, chat, contamination, html, langid, lm, minhash, quality, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -108,3 +108,10 @@ def op8_langid(spark, sf_dir):
     """Language of every document, learned from two of three folds."""
     docs = langid.held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return langid.held_out(langid.predict(docs, langid.fit(docs.where("not held_out"))))
+
+
+@query()
+def op4_lm(spark, sf_dir):
+    """Log-likelihood of every document; one fold is never learned from."""
+    docs = lm.held_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm.held_out(lm.score(docs, docs.where("not held_out")))
