@@ -7,13 +7,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import bpe, contamination, minhash, quality, suffixes
+from tidemark.llm.folds import protected
 from tidemark.session import cut_lineage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules accept; the columns of `docs`."""
-    judged = quality.quality(docs)
-    return judged.where("kept").select(*docs.columns)
+    safe, back = protected(docs, [*quality.FEATURES, "votes", "p_good", "base_failed", "kept"])
+    return back(quality.quality(safe).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,7 +97,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     only and is never kept; rows that repeat a doc_id share its component (kept is then true for each of the
     smallest). Other columns are ignored.
     """
-    sketch = cut_lineage(docs.select("doc_id", "text").mapInArrow(
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sketch = cut_lineage(docs.mapInArrow(
         _sketch(n), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
     classes = cut_lineage(sketch.where("d1 is not null").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1 and class_id is not null"))
@@ -120,7 +121,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         (F.col("doc_id") != F.col("b")) & close(F.col("n_shingles"), F.col("nb")))
         .select(F.col("doc_id").alias("a"), "b").distinct())
     wanted = rank.select("doc_id").distinct()
-    sets = cut_lineage(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(
+    sets = cut_lineage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(
         _sets(n), "doc_id bigint, shingles array<bigint>"))
     edges = cut_lineage(_confirmed(star, sets, percent))
     found = components(edges)

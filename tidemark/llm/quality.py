@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import blocks as tb
+from tidemark.llm.folds import prefix_for
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -94,20 +95,26 @@ def text_features(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tb.blocks(batches, "text"):
-        found = text_features(batch.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, *(pa.array(found[f], pa.int64()) for f in FEATURES)], names=[*batch.schema.names, *(f"_{f}" for f in FEATURES)])
+def _measure(mark: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.blocks(batches, "text"):
+            found = text_features(batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(found[f], pa.int64()) for f in FEATURES)], names=[*batch.schema.names, *(mark + f for f in FEATURES)])
 
+    return run
+
+
+def rules(mark: str = "") -> dict[str, tuple[Column, Column]]:
+    """Name -> (votes bad, votes good) over the counts, named with `mark` before; a rule abstains where neither holds."""
+    def col(name: str) -> Column:
+        return F.col(mark + name)
 
-def rules() -> dict[str, tuple[Column, Column]]:
-    """Name -> (votes bad, votes good); a rule abstains where neither holds."""
     def share(part: str, whole: str) -> Column:
-        return F.col(f"_{part}") / F.greatest(F.col(f"_{whole}"), F.lit(1))
+        return col(part) / F.greatest(col(whole), F.lit(1))
 
-    enough = F.col("_n_words") >= 5
-    letters = F.col("_n_upper") / F.greatest(F.col("_n_upper") + F.col("_n_lower"), F.lit(1))
+    enough = col("n_words") >= 5
+    letters = col("n_upper") / F.greatest(col("n_upper") + col("n_lower"), F.lit(1))
     length = share("word_chars", "n_words")
     return {
         "symbols": (share("n_symbols", "n_words") > 0.3, share("n_symbols", "n_words") < 0.1),
@@ -116,8 +123,8 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "loud_words": (enough & (share("n_loud", "n_words") > 0.25), share("n_loud", "n_words") < 0.05),
         "next_words": (enough & (share("n_next_words", "n_words") > 0.25), share("n_next_words", "n_words") < 0.1),
         "repeats": (share("n_repeat_words", "n_words") > 0.3, share("n_repeat_words", "n_words") < 0.1),
-        "vocabulary": ((F.col("_n_words") >= 40) & (share("n_new_words", "n_words") < 0.2), (F.col("_n_words") >= 40) & (share("n_new_words", "n_words") > 0.4)),
-        "lines": ((F.col("_n_lines") >= 4) & (share("n_dup_lines", "n_lines") > 0.45), share("n_dup_lines", "n_lines") < 0.35),
+        "vocabulary": ((col("n_words") >= 40) & (share("n_new_words", "n_words") < 0.2), (col("n_words") >= 40) & (share("n_new_words", "n_words") > 0.4)),
+        "lines": ((col("n_lines") >= 4) & (share("n_dup_lines", "n_lines") > 0.45), share("n_dup_lines", "n_lines") < 0.35),
         "word_length": (enough & ((length > 15) | (length < 2)), length.between(3, 12)),
         "digits": (enough & (share("n_digits", "word_chars") > 0.5), share("n_digits", "word_chars") < 0.2),
     }
@@ -160,21 +167,22 @@ def quality(docs: DataFrame) -> DataFrame:
     A null or blank text has zero counts and fails the base rule. Names of `docs` that clash with the added
     columns are replaced. The corpus is read twice: to count vote patterns and to filter.
     """
-    named = rules()
+    mark = prefix_for(docs)
+    named = rules(mark)
     added = {*FEATURES, "votes", "p_good", "base_failed", "kept"}
     own = [c for c in docs.columns if c not in added]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema] + [f"_{f} bigint" for f in FEATURES])
-    measured = docs.select(*own).mapInArrow(_measure, schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema] + [f"{mark}{f} bigint" for f in FEATURES])
+    measured = docs.select(*own).mapInArrow(_measure(mark), schema)
     vote = [F.when(bad, "2").when(good, "0").otherwise("1") for bad, good in named.values()]
     voted = measured.withColumn("votes", F.concat(*vote))
-    failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
-    only = docs.select("text").mapInArrow(_measure, "text string, " + ", ".join(f"_{f} bigint" for f in FEATURES)) \
+    failed = (F.col(f"{mark}n_words") < MIN_WORDS) | (100 * F.col(f"{mark}n_repeat_words") > 30 * F.col(f"{mark}n_words"))
+    only = docs.select("text").mapInArrow(_measure(mark), "text string, " + ", ".join(f"{mark}{f} bigint" for f in FEATURES)) \
         .select(F.concat(*vote).alias("votes"))
     seen = only.groupBy("votes").count().collect()          # one row for each pattern at most
     patterns = np.array([[int(v) for v in r["votes"]] for r in seen], np.int64).reshape(-1, len(named))
     bad, votes = fit_votes(patterns, np.array([r["count"] for r in seen], float))
     return voted.withColumn("p_good", _posterior(bad, votes)).select(
-        *own, *(F.col(f"_{f}").alias(f) for f in FEATURES), "votes", "p_good", failed.alias("base_failed"),
+        *own, *(F.col(mark + f).alias(f) for f in FEATURES), "votes", "p_good", failed.alias("base_failed"),
         (~failed & (F.col("p_good") >= 0.5)).alias("kept"))
 
 

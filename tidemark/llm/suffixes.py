@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import blocks as tb
+from tidemark.llm.folds import prefix_for, protected
 from tidemark.llm.scratch import Scratch
 
 LENGTH, GRAM = 200, 64
@@ -199,8 +200,8 @@ def _windows(length: int, gram: int):
     return run
 
 
-def _cut(length: int, gram: int):
-    """(..., text, segments, starts) -> removed spans and the bytes that stay."""
+def _cut(length: int, gram: int, mark: str):
+    """(..., text, segments, starts; the last two under `mark`) -> removed spans and the bytes that stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "text", BLOCK_BYTES):
             flat, offsets = tb.utf8(block.column("text"))
@@ -208,7 +209,7 @@ def _cut(length: int, gram: int):
             gone = a.repeated_inside()
             first = np.searchsorted(a.rows, np.arange(block.num_rows + 1))
             edges = np.zeros(len(flat) + 1, np.int64)
-            for row, (segments, starts) in enumerate(zip(block.column("segments").to_pylist(), block.column("starts").to_pylist())):
+            for row, (segments, starts) in enumerate(zip(block.column(f"{mark}segments").to_pylist(), block.column(f"{mark}starts").to_pylist())):
                 mine = slice(first[row], first[row + 1])
                 if segments:
                     gone[mine] |= np.isin(a.segment[mine].view(np.int64), segments)
@@ -234,7 +235,7 @@ def _cut(length: int, gram: int):
             spans = pa.StructArray.from_arrays([pa.array(span_starts - offsets[owner], pa.int64()), pa.array(span_ends - offsets[owner], pa.int64())], fields=list(kind))
             stay, stays = flat[~removed], np.concatenate([[0], np.cumsum(~removed)])[offsets]
             data = stay.tobytes()
-            own = [c for c in block.schema.names if c not in ("segments", "starts")]
+            own = [c for c in block.schema.names if c not in (f"{mark}segments", f"{mark}starts")]
             yield pa.RecordBatch.from_arrays([
                 *(block.column(c) for c in own), pa.array(np.diff(offsets), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(tb.counted(owner, block.num_rows)[1], pa.int32()), spans),
@@ -263,14 +264,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     second = scratch.keep("starts", sorted_suffixes(scratch, "windows", windows.mapInArrow(_windows(length, gram), _SUFFIX + ", extra bigint"))
                           .where("copies > 1 and extra >= 0").select("doc", "extra", "t1"))
     scratch.drop("windows-sorted", "windows-ends", "windows-kinds")
-    segments = first.where("copies > 1").groupBy("doc").agg(F.collect_set("t1").alias("segments"))
-    starts = second.groupBy("doc").agg(F.collect_set(F.struct("extra", "t1")).alias("starts"))
-    marks = segments.join(starts, "doc", "full_outer")
+    mark = prefix_for(docs)
+    key = f"{mark}doc"
+    segments = first.where("copies > 1").groupBy(F.col("doc").alias(key)).agg(F.collect_set("t1").alias(f"{mark}segments"))
+    starts = second.groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("extra", "t1")).alias(f"{mark}starts"))
     names = [f"`{f.name}`" for f in own]
-    keyed = docs.select(*names, F.xxhash64(*[n for n in names if n in ("`doc_id`", "`text`")]).alias("_doc"))
-    joined = keyed.join(marks.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*names, "segments", "starts")
+    keyed = docs.select(*names, F.xxhash64(*[n for n in names if n in ("`doc_id`", "`text`")]).alias(key))
+    joined = keyed.join(segments.join(starts, key, "full_outer"), key, "left").select(*names, f"{mark}segments", f"{mark}starts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    return joined.mapInArrow(_cut(length, gram), schema + ", n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept_bytes binary")
+    return joined.mapInArrow(_cut(length, gram, mark), schema + ", n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept_bytes binary")
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +300,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     A character goes if all its bytes do, so texts stay valid. n_chars, if `docs` has it, counts the new text.
     """
-    found = repeated_spans(docs, length, gram).drop("n_bytes", "kept_bytes")
+    safe, back = protected(docs, ["n_bytes", "removed", "kept_bytes"])
+    found = repeated_spans(safe, length, gram).drop("n_bytes", "kept_bytes")
     cut = found.mapInArrow(_whole_characters, found.schema).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return back(cut)
