@@ -15,20 +15,23 @@ may lie on both sides of a splitter, so every bucket gives its first and last ru
 runs, two rows for each bucket, and those decide what a bucket cannot see.
 
 A segment that occurs twice repeats in all its windows. A gram that occurs in different segments (the edge of a
-repeated passage, or the place of an edit) sends one of each kind into the second sort, whose suffixes are their
-single windows, with the first eight bytes and the window's hash as leading tokens.
+repeated passage, or the place of an edit) sends one of each kind into the second sort, whose suffixes are blocks of
+RUN windows, laid out from the anchor, with two tokens again: the bytes that all windows of the full block share, and
+the block's own bytes. A block that occurs twice repeats; where only the shared bytes do, one block of each kind goes
+into the third sort as single windows (first eight bytes, hash of the window).
 """
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import blocks as tb
 from tidemark.llm.folds import prefix_for, protected
 from tidemark.llm.scratch import Scratch
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM, RUN = 200, 64, 8
 BUCKET_ROWS = 1_000_000
 BLOCK_BYTES = 1 << 20
 # Windows that one step of the anchor search takes, and the low bits that hold a place inside a step.
@@ -63,7 +66,7 @@ class Anchors:
         rows = np.repeat(np.arange(len(sizes)), sizes)[:n]
         inside = np.flatnonzero(np.arange(n) + length <= offsets[rows + 1])
         if not len(inside):
-            self.rows = self.lo = self.hi = np.zeros(0, np.int64)
+            self.rows = self.lo = self.hi = self.place = np.zeros(0, np.int64)
             self.gram = self.segment = np.zeros(0, np.uint64)
             return
         prefix = _GRAMS.prefixes(flat)
@@ -72,10 +75,28 @@ class Anchors:
         rows = rows[inside]
         head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])])
         self.rows, self.lo, self.hi = rows[head], inside[head], inside[np.r_[head[1:], len(inside)] - 1]
-        self.gram = hashes[place[head]]
+        self.place, self.gram = place[head], hashes[place[head]]
         whole = _SEGMENTS.spans(self.prefix, self.lo, self.hi + length)
         # The same bytes around another anchor place are another segment.
-        self.segment = tb.mix(whole + (place[head] - self.lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.segment = tb.mix(whole + (self.place - self.lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def blocks(self, chosen: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
+        """Anchor, first and last window, shared bytes and own bytes (hashes) of the chosen anchors' blocks.
+
+        Blocks of `run` windows are laid out from the anchor's place and end with its windows, so a window is in one
+        block. The bytes that a full block's windows share lie in the text even where the block is cut short.
+        """
+        run = min(run, self.length)
+        low, high = -((self.place - self.lo)[chosen] // run) - 1, (self.hi - self.place)[chosen] // run
+        sizes = high - low + 1
+        anchor = np.repeat(chosen, sizes)
+        begin = self.place[anchor] + run * (np.arange(len(anchor)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes))
+        first, last = np.maximum(begin, self.lo[anchor]), np.minimum(begin + run - 1, self.hi[anchor])
+        some = first <= last
+        anchor, begin, first, last = anchor[some], begin[some], first[some], last[some]
+        shared = _GRAMS.spans(_GRAMS.prefixes(self.flat), begin + run - 1, begin + self.length) if len(begin) else np.zeros(0, np.uint64)
+        own = _SEGMENTS.spans(self.prefix, first, last + self.length)
+        return anchor, first, last, shared, tb.mix(own + (first - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def windows(self, starts: np.ndarray) -> np.ndarray:
         return _SEGMENTS.spans(self.prefix, starts, starts + self.length)
@@ -146,7 +167,8 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = np.add.reduceat(inner, np.flatnonzero(outer)) > 1
     many = kinds[np.cumsum(outer) - 1]
     open_ = (t0 == t0[0]) | (t0 == t0[-1])
-    keep = np.flatnonzero((total > 1) | many | open_)
+    # Rows that were known to repeat before (extra below zero) are there to be compared with; one of a run goes on.
+    keep = np.flatnonzero(((total > 1) & (extra >= 0)) | (many & inner) | open_)
     for a in range(0, len(keep), 100_000):
         k = keep[a:a + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (doc, t0, t1, total, extra, many, inner, open_)],
@@ -161,64 +183,112 @@ def sorted_suffixes(scratch: Scratch, name: str, suffixes: DataFrame) -> DataFra
     found = scratch.keep(f"{name}-sorted", rows.repartitionByRange(buckets, "t0", "t1", "doc", "extra").mapInArrow(
         _bucket, "doc bigint, t0 bigint, t1 bigint, copies bigint, extra bigint, many boolean, one boolean, open boolean"))
     scratch.drop(f"{name}-suffixes")
-    # What a bucket cannot see: `open` rows, summed to one row for each token pair (each bucket's first and last run).
-    ends = found.where("open and one").groupBy("t0", "t1").agg(F.sum("copies").alias("sum"))
-    kinds = found.where("open and one").groupBy("t0").agg((F.min("t1") != F.max("t1")).alias("kinds"))
-    ends = scratch.keep(f"{name}-ends", ends)
-    kinds = scratch.keep(f"{name}-kinds", kinds)
+    # What a bucket cannot see: `open` rows, summed to one row for each token pair.
+    edge = found.where("open and one")
+    ends = scratch.keep(f"{name}-ends", edge.groupBy("t0", "t1").agg(F.sum("copies").alias("sum")))
+    kinds = scratch.keep(f"{name}-kinds", edge.groupBy("t0").agg((F.min("t1") != F.max("t1")).alias("kinds")))
     settled = found.where("open").join(ends, ["t0", "t1"]).join(kinds, "t0").select(
         "doc", "t0", "t1", F.least(F.lit(2), F.col("sum")).cast("bigint").alias("copies"), "extra", F.col("kinds").alias("many"), "one")
     return found.where("not open").select("doc", "t0", "t1", "copies", "extra", "many", "one").union(settled)
 
 
-def _windows(length: int, gram: int):
-    """(doc, text, segments) -> one row for each window of the listed segments (t1 and copies of each)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(block: pa.RecordBatch, a: Anchors, key: np.ndarray, rows: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `key` (a value for each piece of the texts, `rows` their texts) that column `listed` names, each value
+    of a text once, and the copies listed with them."""
+    lists = block.column("listed")
+    owner = np.repeat(np.arange(block.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    flat = lists.flatten()
+    wanted, copies = flat.field(name).to_numpy(), flat.field("copies").to_numpy()
+    both = np.concatenate([rows, owner]), np.concatenate([key, wanted])
+    order = np.lexsort((np.r_[np.ones(len(rows), int), np.zeros(len(owner), int)], both[1], both[0]))
+    r, k = both[0][order], both[1][order]
+    group = np.cumsum(np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])]) - 1 if len(r) else r
+    is_wanted = order >= len(rows)
+    value = np.zeros(group[-1] + 1 if len(group) else 0, np.int64)
+    np.maximum.at(value, group[is_wanted], copies[order[is_wanted] - len(rows)])
+    hit = ~is_wanted & (value[group] > 0) if len(group) else is_wanted
+    first = np.unique(group[hit], return_index=True)[1]
+    at = order[np.flatnonzero(hit)[first]]
+    return at, value[group[np.flatnonzero(hit)[first]]]
+
+
+def _pieces(length: int, gram: int, run: int):
+    """(doc, text, listed segments) -> their blocks; extra is the block's place, -1 - place in segments known to repeat."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "text", BLOCK_BYTES):
             flat, offsets = tb.utf8(block.column("text"))
             a = Anchors(flat, offsets, length, gram)
-            docs = block.column("doc").to_pylist()
-            first = np.searchsorted(a.rows, np.arange(block.num_rows + 1))
-            for row, listed in enumerate(block.column("segments").to_pylist()):
-                copies = {s["t1"] & (2**64 - 1): s["copies"] for s in listed}
-                mine = np.arange(first[row], first[row + 1])
-                mine = mine[np.isin(a.segment[mine], np.fromiter(copies, np.uint64, len(copies)))]
-                _, one = np.unique(a.segment[mine], return_index=True)
-                mine = mine[one]
-                if not len(mine):
-                    continue
-                sizes = a.hi[mine] - a.lo[mine] + 1
-                at = np.repeat(a.lo[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                lead = np.zeros(len(at), np.uint64)
-                for k in range(8):
-                    lead = (lead << np.uint64(8)) | flat[at + k]
-                known = np.repeat([copies[int(s)] for s in a.segment[mine]], sizes)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(at), docs[row], np.int64)), pa.array(lead.view(np.int64)), pa.array(a.windows(at).view(np.int64)),
-                    pa.array(known, pa.int64()), pa.array(np.where(known > 1, -1, at - offsets[row]), pa.int64())], names=["doc", "t0", "t1", "copies", "extra"])
+            chosen, copies = _listed(block, a, a.segment.view(np.int64), a.rows, "t1")
+            known = np.zeros(len(a.rows), np.int64)
+            known[chosen] = copies
+            anchor, first, _, shared, own = a.blocks(np.sort(chosen), run)
+            place = first - offsets[a.rows[anchor]]
+            doc = block.column("doc").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc[a.rows[anchor]], pa.int64()), pa.array(shared.view(np.int64)), pa.array(own.view(np.int64)),
+                pa.array(known[anchor], pa.int64()), pa.array(np.where(known[anchor] > 1, -1 - place, place), pa.int64())],
+                names=["doc", "t0", "t1", "copies", "extra"])
 
-    return run
+    return task
 
 
-def _cut(length: int, gram: int, mark: str):
+def _windows(length: int, gram: int, run: int):
+    """(doc, text, listed blocks) -> their windows; extra as for blocks."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tb.blocks(batches, "text", BLOCK_BYTES):
+            flat, offsets = tb.utf8(block.column("text"))
+            a = Anchors(flat, offsets, length, gram)
+            anchor, first, last, _, _ = a.blocks(np.arange(len(a.rows)), run)
+            rows = a.rows[anchor]
+            chosen, copies = _listed(block, a, first - offsets[rows], rows, "place")
+            sizes = last[chosen] - first[chosen] + 1
+            at = np.repeat(first[chosen] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            owner, known = np.repeat(rows[chosen], sizes), np.repeat(copies, sizes)
+            lead = np.zeros(len(at), np.uint64)
+            for k in range(min(8, length)):
+                lead = (lead << np.uint64(8)) | flat[at + k]
+            place = at - offsets[owner]
+            doc = block.column("doc").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc[owner], pa.int64()), pa.array(lead.view(np.int64)), pa.array(a.windows(at).view(np.int64)),
+                pa.array(known, pa.int64()), pa.array(np.where(known > 1, -1 - place, place), pa.int64())],
+                names=["doc", "t0", "t1", "copies", "extra"])
+
+    return task
+
+
+def _among(rows: np.ndarray, values: np.ndarray, named_rows: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """True where a (row, value) is among the named ones."""
+    if not len(named) or not len(values):
+        return np.zeros(len(values), bool)
+    kind = [("row", np.int64), ("value", np.int64)]
+    left, right = np.empty(len(values), kind), np.empty(len(named), kind)
+    left["row"], left["value"], right["row"], right["value"] = rows, values, named_rows, named
+    return np.isin(left, right)
+
+
+def _cut(length: int, gram: int, run_length: int, mark: str):
     """(..., text, segments, starts; the last two under `mark`) -> removed spans and the bytes that stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "text", BLOCK_BYTES):
             flat, offsets = tb.utf8(block.column("text"))
             a = Anchors(flat, offsets, length, gram)
             gone = a.repeated_inside()
-            first = np.searchsorted(a.rows, np.arange(block.num_rows + 1))
             edges = np.zeros(len(flat) + 1, np.int64)
-            for row, (segments, starts) in enumerate(zip(block.column(f"{mark}segments").to_pylist(), block.column(f"{mark}starts").to_pylist())):
-                mine = slice(first[row], first[row + 1])
-                if segments:
-                    gone[mine] |= np.isin(a.segment[mine].view(np.int64), segments)
-                if starts:
-                    at = np.array([s["extra"] for s in starts], np.int64) + offsets[row]
-                    at, hashes = at[at + length <= offsets[row + 1]], np.array([s["t1"] for s in starts], np.int64)[at + length <= offsets[row + 1]]
-                    at = at[a.windows(at).view(np.int64) == hashes]
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, at + length, -1)
+            segments, starts = block.column(f"{mark}segments"), block.column(f"{mark}starts")
+            owner = np.repeat(np.arange(block.num_rows), pc.fill_null(segments.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            gone |= _among(a.rows, a.segment.view(np.int64), owner, segments.flatten().to_numpy(zero_copy_only=False))
+            # A place names a block if its bytes are the block's, a window if they are the window's.
+            owner = np.repeat(np.arange(block.num_rows), pc.fill_null(starts.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            if len(owner):
+                at, named = starts.flatten().field("extra").to_numpy() + offsets[owner], starts.flatten().field("t1").to_numpy()
+                _, first, last, _, own = a.blocks(np.arange(len(a.rows)), run_length)
+                whole = _among(first, own.view(np.int64), at, named)
+                single = at[at + length <= offsets[owner + 1]], named[at + length <= offsets[owner + 1]]
+                single = single[0][a.windows(single[0]).view(np.int64) == single[1]]
+                for low, high in ((first[whole], last[whole]), (single, single)):
+                    np.add.at(edges, low, 1)
+                    np.add.at(edges, high + length, -1)
             np.add.at(edges, a.lo[gone], 1)
             np.add.at(edges, a.hi[gone] + length, -1)
             removed = np.cumsum(edges[:-1]) > 0
@@ -245,7 +315,7 @@ def _cut(length: int, gram: int, mark: str):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN) -> DataFrame:
     """All columns of `docs` plus n_bytes, removed (array of byte spans, maximal and in order) and kept_bytes.
 
     Texts count as UTF-8 bytes, a null text as empty; strings never cross texts. Every row is a text of its own, so
@@ -256,23 +326,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     scratch = Scratch(spark)
     own = [f for f in docs.schema.fields if f.name not in ("n_bytes", "removed", "kept_bytes")]
     texts = docs.select(F.xxhash64(*[f"`{f.name}`" for f in own if f.name in ("doc_id", "text")]).alias("doc"), "text")
-    first = scratch.keep("settled", sorted_suffixes(scratch, "segments", texts.mapInArrow(_suffixes(length, gram), _SUFFIX)
-                                                    .withColumn("extra", F.lit(-1).cast("bigint"))))
-    scratch.drop("segments-sorted", "segments-ends", "segments-kinds")
-    listed = first.where("many and one").groupBy("doc").agg(F.collect_set(F.struct("t1", "copies")).alias("segments"))
-    windows = texts.join(listed, "doc")
-    second = scratch.keep("starts", sorted_suffixes(scratch, "windows", windows.mapInArrow(_windows(length, gram), _SUFFIX + ", extra bigint"))
-                          .where("copies > 1 and extra >= 0").select("doc", "extra", "t1"))
-    scratch.drop("windows-sorted", "windows-ends", "windows-kinds")
+
+    def level(name: str, suffixes: DataFrame) -> DataFrame:
+        found = scratch.keep(name, sorted_suffixes(scratch, name, suffixes))
+        scratch.drop(*(f"{name}-{part}" for part in ("sorted", "ends", "kinds")))
+        return found
+
+    first = level("segments", texts.mapInArrow(_suffixes(length, gram), _SUFFIX).withColumn("extra", F.lit(0).cast("bigint")))
+    listed = first.where("many and one").groupBy("doc").agg(F.collect_set(F.struct("t1", "copies")).alias("listed"))
+    second = level("blocks", texts.join(listed, "doc").mapInArrow(_pieces(length, gram, run), _SUFFIX + ", extra bigint"))
+    place = F.when(F.col("extra") < 0, -1 - F.col("extra")).otherwise(F.col("extra")).alias("place")
+    listed = second.where("many and one").groupBy("doc").agg(F.collect_set(F.struct(place, "copies")).alias("listed"))
+    third = level("windows", texts.join(listed, "doc").mapInArrow(_windows(length, gram, run), _SUFFIX + ", extra bigint"))
+    repeated = [found.where("copies > 1 and extra >= 0").select("doc", "extra", "t1") for found in (second, third)]
     mark = prefix_for(docs)
     key = f"{mark}doc"
     segments = first.where("copies > 1").groupBy(F.col("doc").alias(key)).agg(F.collect_set("t1").alias(f"{mark}segments"))
-    starts = second.groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("extra", "t1")).alias(f"{mark}starts"))
+    starts = repeated[0].union(repeated[1]).groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("extra", "t1")).alias(f"{mark}starts"))
     names = [f"`{f.name}`" for f in own]
     keyed = docs.select(*names, F.xxhash64(*[n for n in names if n in ("`doc_id`", "`text`")]).alias(key))
     joined = keyed.join(segments.join(starts, key, "full_outer"), key, "left").select(*names, f"{mark}segments", f"{mark}starts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    return joined.mapInArrow(_cut(length, gram, mark), schema + ", n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept_bytes binary")
+    return joined.mapInArrow(_cut(length, gram, run, mark), schema + ", n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept_bytes binary")
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
