@@ -1,8 +1,9 @@
 """Near-duplicate documents by min-max hashing, confirmed on the full shingle sets.
 
 Every permutation is evaluated once over a document's shingles and gives two signature values, its minimum
-and its maximum (64 evaluations, 128 values). Four values make a band; two documents with 80 % of their
-shingles in common miss all 32 bands with a probability of 5e-8.
+and its maximum (192 evaluations, 384 values). Six values make a band; two documents with 80 % of their
+shingles in common miss all 64 bands with a probability of 4e-9. Two bits of each of the first 128 values go along with a
+bucket's members: a pair whose bits agree in fewer places than a similarity of 80 % gives but once in 10^9 is not compared further.
 
 Documents with equal sets collapse into a class first, so a group of copies of any size is one candidate.
 In a bucket every member is compared with one centre (the member that shares most buckets) and, once that has
@@ -13,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import blocks as tb
 from tidemark.llm.graph import components
 from tidemark.session import cut_lineage
 
-N_PERMUTATIONS, BAND = 64, 4
+N_PERMUTATIONS, BAND = 192, 6
+SKETCHED = 128               # signature values whose last two bits are sketched
+SKETCH = ["s0", "s1", "s2", "s3"]
 _WORDS = tb.SpanHash(11, tb.LOWER)
 _rng = np.random.default_rng(12)
 _FACTORS = _rng.integers(0, 2**63, N_PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,6 +48,22 @@ def signatures(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return rows[first], out
 
 
+def sketch_bits(lines: np.ndarray) -> list[np.ndarray]:
+    """Four 64-bit words for each line: last bits of the first SKETCHED values, then the bits before them."""
+    place = np.arange(64, dtype=np.uint64)
+    return [np.bitwise_or.reduce(((lines[:, a:a + 64] >> np.uint64(bit)) & np.uint64(1)) << place, axis=1) if len(lines) else np.zeros(0, np.uint64)
+            for bit in (0, 1) for a in range(0, SKETCHED, 64)]
+
+
+def _alike(left: str, right: str, percent: int) -> Column:
+    """Whether two sketches agree as often as sets of that similarity do, less six standard deviations."""
+    differ = sum((F.bit_count((F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))).bitwiseOR(
+        F.col(f"{left}{k + 2}").bitwiseXOR(F.col(f"{right}{k + 2}")))) for k in range(2)), F.lit(0))
+    agree = percent / 100 + (1 - percent / 100) / 4
+    most = SKETCHED * (1 - agree) + 6 * (SKETCHED * agree * (1 - agree)) ** 0.5
+    return differ <= int(most) + 1
+
+
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "text"):
@@ -58,11 +77,15 @@ def _sketch(n: int):
             for d, factor in zip(digests, (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)):
                 if len(owners):
                     d[owners] = np.add.reduceat(tb.mix(values ^ np.uint64(factor)) * np.uint64(factor), first[owners])
+            words = [np.zeros(block.num_rows, np.uint64) for _ in SKETCH]
+            for w, found in zip(words, sketch_bits(lines)):
+                w[owners] = found
             yield pa.RecordBatch.from_arrays([
                 block.column("doc_id"), pa.array(counts, pa.int64()),
                 *(pa.array(d.view(np.int64), mask=counts == 0) for d in digests),
                 tb.lists(bands.view(np.int64).ravel(), np.repeat(owners, bands.shape[1]), block.num_rows, pa.int64()),
-            ], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+                *(pa.array(w.view(np.int64)) for w in words),
+            ], names=["doc_id", "n_shingles", "d1", "d2", "bands", *SKETCH])
 
     return run
 
@@ -99,28 +122,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketch = cut_lineage(docs.mapInArrow(
-        _sketch(n), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
+        _sketch(n), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH)))
     classes = cut_lineage(sketch.where("d1 is not null").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1 and class_id is not null"))
     member = cut_lineage(sketch.join(classes, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles", "bands", F.coalesce("class_id", "doc_id").alias("class_id")))
+        "doc_id", "n_shingles", "bands", *SKETCH, F.coalesce("class_id", "doc_id").alias("class_id")))
     # One row of each class goes on; repeated rows of its doc_id have equal bands or another text under the same id.
-    entries = member.where("doc_id = class_id and n_shingles > 0").select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    first = member.where("doc_id = class_id and n_shingles > 0")
+    entries = first.select("doc_id", F.explode("bands").alias("bucket"))
     shared = cut_lineage(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     hits = cut_lineage(entries.join(shared, "bucket"))
-    rank = cut_lineage(hits.groupBy("doc_id", "n_shingles").agg(F.sum("size").alias("rank")))
-    hits = cut_lineage(hits.join(rank, ["doc_id", "n_shingles"]).select("bucket", "doc_id", "n_shingles", "rank"))
+    rank = cut_lineage(hits.groupBy("doc_id").agg(F.sum("size").alias("rank")).join(first.select("doc_id", "n_shingles", *SKETCH), "doc_id"))
+    hits = cut_lineage(hits.join(rank, "doc_id").select("bucket", "doc_id", "n_shingles", "rank", *SKETCH))
     centres = cut_lineage(hits.groupBy("bucket").agg(
-        F.max(F.struct("rank", (-F.col("doc_id")).alias("minus"), "n_shingles")).alias("c"))
-        .select("bucket", (-F.col("c.minus")).alias("b"), F.col("c.n_shingles").alias("nb")))
+        F.max(F.struct("rank", (-F.col("doc_id")).alias("minus"), "n_shingles", *SKETCH)).alias("c"))
+        .select("bucket", (-F.col("c.minus")).alias("b"), F.col("c.n_shingles").alias("nb"), *(F.col(f"c.{c}").alias(f"b{c}") for c in SKETCH)))
 
     def close(na, nb):
         return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
     star = cut_lineage(hits.join(centres, "bucket").where(
-        (F.col("doc_id") != F.col("b")) & close(F.col("n_shingles"), F.col("nb")))
+        (F.col("doc_id") != F.col("b")) & close(F.col("n_shingles"), F.col("nb")) & _alike("s", "bs", percent))
         .select(F.col("doc_id").alias("a"), "b").distinct())
-    wanted = rank.select("doc_id").distinct()
+    wanted = cut_lineage(rank.select("doc_id").distinct())
     sets = cut_lineage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(
         _sets(n), "doc_id bigint, shingles array<bigint>"))
     edges = cut_lineage(_confirmed(star, sets, percent))
@@ -130,10 +154,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo <> hi").select("bucket")
     open_rows = cut_lineage(placed.join(mixed, "bucket", "left_semi"))
-    x = open_rows.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-    y = open_rows.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    rest = cut_lineage(x.join(y, "bucket").where((F.col("ca") < F.col("cb")) & close(F.col("na"), F.col("nb")))
-                       .select("a", "b").distinct())
+
+    def side(x: str) -> DataFrame:
+        return open_rows.select("bucket", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("component").alias(f"c{x}"),
+                                *(F.col(c).alias(x + c) for c in SKETCH))
+
+    rest = cut_lineage(side("a").join(side("b"), "bucket").where(
+        (F.col("ca") < F.col("cb")) & close(F.col("na"), F.col("nb")) & _alike("as", "bs", percent)).select("a", "b").distinct())
     edges = edges.union(_confirmed(rest, sets, percent))
     found = components(cut_lineage(edges))
     return member.select("doc_id", "n_shingles", "class_id").join(
