@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.session import cut_lineage, sized
 
-BUCKET_DIGITS = 4          # 65,536 buckets per group
+BUCKET_DIGITS = 3          # 4,096 buckets per group; raise it for groups above some 10^10 rows
 POOLED = "pooled_key"      # constant group used when the whole frame is one group
-PLAIN_GROUP_ROWS = 200_000  # groups up to this size are ranked directly; larger ones go by buckets
 
 
 def order_key(seed, *parts: str, tie: str) -> Column:
@@ -41,48 +40,38 @@ def _edges(keys: DataFrame, group: list[str], quota: Column) -> DataFrame:
     )
 
 
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group (a count that reads the group columns only)."""
-    sizes = df.groupBy(*group).agg(F.count("*").alias("group_rows"))
-    return sizes.agg(F.max("group_rows")).first()[0] or 0
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL (a NULL group is a group); the left side's keys stay."""
+    renamed = right.withColumnsRenamed({k: f"{k}__right" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"{k}__right"]) for k in keys]
+    return left.join(renamed, on, how).drop(*(f"{k}__right" for k in keys))
 
 
-def take_lowest(df: DataFrame, group: list[str], n: int, plain_rows: int = PLAIN_GROUP_ROWS) -> DataFrame:
-    """At most `n` rows of every group, those with the lowest `order_key`, numbered `rn` from 1.
+def take_lowest(df: DataFrame, group: list[str], n: int) -> DataFrame:
+    """At most `n` rows of every group, those with the lowest `order_key`, numbered `rn` from 1; all rows for n <= 0.
 
-    With a group above `plain_rows`, rows above each group's edge bucket are dropped before the shuffle,
-    so the ranked part holds about n rows per group plus one bucket.
+    Spark limits every group before the shuffle (WindowGroupLimit), so a hot group moves n rows for each map task.
     """
-    if largest_group(df, group) > plain_rows:
-        edges = sized(_edges(df.select(*group, "order_key"), group, F.lit(n)).select(*group, "edge"))
-        df = df.join(edges, group).filter(_bucket() <= F.col("edge")).drop("edge")
+    if n <= 0:
+        return rank_by_hash(df, group, "rn").withColumn("rn", (F.col("rn") + 1).cast("int"))
     ranked = Window.partitionBy(*group).orderBy("order_key")
     return df.withColumn("rn", F.row_number().over(ranked)).filter(F.col("rn") <= n)
 
 
-def split_lowest(df: DataFrame, group: list[str], quota: Column, flag: str, plain_rows: int = PLAIN_GROUP_ROWS) -> DataFrame:
+def split_lowest(df: DataFrame, group: list[str], quota: Column, flag: str) -> DataFrame:
     """All rows, with `flag` true for the `quota` rows of lowest `order_key` in every group.
 
-    `quota` may use `group_rows`. With a group above `plain_rows`, the quota-th key of each group is
-    looked up in its edge bucket and compared on the map side, so the payload is not shuffled.
+    `quota` may use `group_rows`. The quota-th key of each group is looked up in its edge bucket and compared on the
+    map side, so the payload is not ranked and a hot group has one bucket ranked in a task.
     """
-    by_group = Window.partitionBy(*group)
-    if largest_group(df, group) <= plain_rows:
-        placed = df.withColumns({
-            "rn": F.row_number().over(by_group.orderBy("order_key")), "group_rows": F.count("*").over(by_group)})
-        return placed.withColumn(flag, F.col("rn") <= quota).drop("rn", "group_rows")
     keys = df.select(*group, "order_key")
     edges = sized(_edges(keys, group, quota).drop("group_rows"))
-    at_edge = keys.join(edges, group).filter(_bucket() == F.col("edge"))
-    cutoffs = sized(
-        at_edge.withColumn("rn", F.row_number().over(by_group.orderBy("order_key"))).filter("rn = wanted")
-        .select(*group, F.col("order_key").alias("cutoff"))
-    )
-    return (
-        df.join(cutoffs, group, "left")
-        .withColumn(flag, F.coalesce(F.col("order_key") <= F.col("cutoff"), F.lit(False)))
-        .drop("cutoff")
-    )
+    at_edge = _same(keys.withColumn("edge", _bucket()), edges, [*group, "edge"])
+    ranked = Window.partitionBy(*group).orderBy("order_key")
+    cutoffs = sized(at_edge.withColumn("rn", F.row_number().over(ranked)).filter("rn = wanted")
+                    .select(*group, F.col("order_key").alias("cutoff")))
+    return _same(df, cutoffs, group, "left").withColumn(
+        flag, F.coalesce(F.col("order_key") <= F.col("cutoff"), F.lit(False))).drop("cutoff")
 
 
 def rank_by_hash(df: DataFrame, group: list[str], name: str = "rank") -> DataFrame:
@@ -98,10 +87,9 @@ def rank_by_hash(df: DataFrame, group: list[str], name: str = "rank") -> DataFra
     )
     inside = Window.partitionBy(*group, "hash_bucket").orderBy("order_key")
     return (
-        keyed.withColumn("rn", F.row_number().over(inside))
-        .join(offsets, [*group, "hash_bucket"])
-        .withColumn(name, F.col("bucket_offset") + F.col("rn") - 1)
-        .drop("rn", "bucket_offset", "hash_bucket")
+        _same(keyed.withColumn("rn", F.row_number().over(inside)), offsets, [*group, "hash_bucket"])
+        .withColumn("bucket_offset", F.col("bucket_offset") + F.col("rn") - 1)
+        .drop("rn", "hash_bucket").withColumnRenamed("bucket_offset", name)
     )
 
 

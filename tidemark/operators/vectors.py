@@ -99,14 +99,14 @@ def gaussian_stats(vectors: DataFrame, by: str, column: str = "embedding") -> Da
     """Per group: n, mean vector and covariance (N-1) as a row-major array (d x d values)."""
     sums = moment_sums(vectors, by, column)
     heads = sums.filter("i = -1").select(
-        "grp", F.round(F.col("v")[0]).cast("long").alias("n"), F.slice("v", 2, MAX_DIMENSION).alias("total")
+        "grp", F.round(F.col("v")[0]).cast("long").alias("n"), F.slice("v", F.lit(2), F.size("v") - 1).alias("total")
     )
     mean = F.transform("total", lambda t: t / F.col("n"))
     heads = heads.select("grp", "n", mean.alias("mean"))
     # Row i of the covariance: (sum x_i x - n mean_i mean) / (n - 1).
     rows = sums.filter("i >= 0").join(heads, "grp").select(
         "grp", "n", "mean", "i",
-        F.zip_with(F.slice("v", 2, MAX_DIMENSION), "mean", lambda s, m: F.try_divide(
+        F.zip_with(F.slice("v", F.lit(2), F.size("v") - 1), "mean", lambda s, m: F.try_divide(
             s - F.col("n") * F.get("mean", F.col("i")) * m, F.col("n") - 1)).alias("row"),
     )
     return rows.groupBy("grp").agg(

@@ -48,11 +48,14 @@ def read_csv_pruned(spark, sf_dir):
     return rows.select("created_at", _csv_digest())
 
 
-@query("csv_row_index", sql="select cast(row_number() over (order by cast(row_index as bigint)) - 1 as bigint) as place from raw_posts")
+@query("csv_row_index", sql=f"select cast(row_number() over (order by cast(row_index as bigint)) - 1 as bigint) as place, created_at, {_CSV_TEXT} from raw_posts")
 def csv_row_index(spark, sf_dir):
-    """Row numbers over several files are dense and unique, whatever the file sizes."""
-    rows = read_posts_csv(spark, _csv(spark, sf_dir), columns=["created_at"])
-    return number_rows(rows).select(F.col("row_index").cast("bigint").alias("place"))
+    """Row numbers over several files are dense, unique and stand beside their own rows, whatever the file sizes."""
+    path = scratch(spark, "csv")
+    number = F.col("row_index").cast("bigint")
+    files.write_csv(ds.raw_posts(spark, sf_dir).repartitionByRange(5, number).sortWithinPartitions(number), path)
+    rows = read_posts_csv(spark, path, columns=["created_at", "original_text"])
+    return number_rows(rows).select(F.col("row_index").cast("bigint").alias("place"), "created_at", _csv_digest())
 
 
 @query(sql="select event_id, cast(row_number() over (order by ts, event_id) - 1 as bigint) as row_index from events")
@@ -231,11 +234,14 @@ def build_windows(spark, sf_dir):
     return _digest(wd.to_output(wd.build_windows(ds.posts(spark, sf_dir))), "part")
 
 
-@query(sql="select window_id, cast(count(*) as bigint) as post_count from posts group by window_id")
+@query(sql="""
+select window_id, post_id, md5(text) as text_md5, cast(row_number() over (partition by window_id order by event_time, post_id) - 1 as integer) as idx,
+  cast(count(*) over (partition by window_id) as integer) as post_count from posts""")
 def build_windows_in_parts(spark, sf_dir):
-    """Windows above a small bound come in parts that hold every post exactly once."""
-    parts = wd.build_windows(ds.posts(spark, sf_dir), max_part_rows=100)
-    return parts.groupBy("window_id").agg(F.sum("post_count").alias("post_count"))
+    """Windows above a small bound come in parts; read back, every post has its place and its window's total."""
+    parts = wd.build_windows(ds.posts(spark, sf_dir), max_part_rows=10)
+    totals = parts.select("window_id", "post_count").distinct()
+    return wd.explode_windows(parts).join(totals, "window_id").select("window_id", "post_id", F.md5("text").alias("text_md5"), "idx", "post_count")
 
 
 @query(sql="""
@@ -274,7 +280,7 @@ def write_windows_batch(spark, sf_dir):
     for _ in range(2):
         files.write_windows_batch(windows, 7, path)
     stored = load_windows(spark, path)
-    return stored.agg(F.count("*").alias("n_windows"), F.sum("post_count").alias("n_posts"))
+    return stored.agg(F.count("*").alias("n_windows"), F.sum(F.size("texts")).alias("n_posts"))
 
 
 @query(sql="""

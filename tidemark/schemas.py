@@ -13,7 +13,7 @@ MESSAGE = _struct(post_id=StringType(), timestamp=StringType(), text=StringType(
 WINDOW = _struct(
     window_id=LongType(), window_start=StringType(), window_end=StringType(),
     texts=ArrayType(StringType()), timestamps=ArrayType(StringType()), post_ids=ArrayType(StringType()),
-    post_count=IntegerType(), part=IntegerType(),
+    post_count=IntegerType(), part=IntegerType(), part_offset=LongType(),
 )
 
 VECTOR = _struct(window_id=LongType(), post_id=StringType(), embedding=ArrayType(FloatType()))

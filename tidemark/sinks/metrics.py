@@ -82,9 +82,11 @@ def to_flat(df: DataFrame) -> DataFrame:
     )
 
 
-def undelivered(records: DataFrame, delivered_ids: DataFrame) -> DataFrame:
-    """One record per window id that was not delivered before."""
-    fresh = records.dropDuplicates(["window_id"])
+def undelivered(records: DataFrame, delivered_ids: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One record per window id that was not delivered before: the first by `order`, else by the record's content."""
+    columns = [F.col(c) for c in records.columns]
+    first = F.min(F.struct(*(order or []), F.struct(*columns).alias("record")))
+    fresh = records.groupBy("window_id").agg(first.alias("first")).select("first.record.*")
     return fresh.join(delivered_ids.select("window_id").distinct(), "window_id", "left_anti")
 
 

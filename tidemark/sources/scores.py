@@ -6,16 +6,17 @@ from tidemark import schemas
 
 
 def read_scores(spark: SparkSession, path: str, corrupt_column: str | None = None) -> DataFrame:
-    """Score rows (superset schema); blank lines are skipped, corrupt lines kept on request."""
-    schema = schemas.SCORE_INPUT
-    reader = spark.read
-    if corrupt_column:
-        schema = StructType([*schema.fields, StructField(corrupt_column, StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    rows = reader.schema(schema).json(path)
-    if corrupt_column:
-        return rows
-    return rows.filter(F.coalesce(F.col("window_id").cast("string"), F.col("window_start")).isNotNull())
+    """Score rows (superset schema); blank lines are skipped.
+
+    Lines that are not JSON are left out here. With `corrupt_column` they stay, as rows with only that column, so that
+    `delivery_summary` counts them among the errors.
+    """
+    name = corrupt_column or "_corrupt_line"
+    schema = StructType([*schemas.SCORE_INPUT.fields, StructField(name, StringType())])
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": name}
+    rows = lines.select(F.from_json("value", schema, options).alias("row")).select("row.*")
+    return rows if corrupt_column else rows.filter(F.col(name).isNull()).drop(name)
 
 
 def flatten_ground_truth(df: DataFrame) -> DataFrame:

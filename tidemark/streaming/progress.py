@@ -1,4 +1,6 @@
 """Progress of running queries as data."""
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -16,9 +18,10 @@ def _rows(progress: dict) -> list[tuple]:
 
 
 def progress_table(query) -> DataFrame:
-    """One row per micro-batch and state operator, from the query's recent progress."""
-    import json
+    """One row per micro-batch and state operator, from the query's recent progress.
 
+    Spark keeps the last updates only (spark.sql.streaming.numRecentProgressUpdates); `ProgressCollector` keeps all.
+    """
     entries = [json.loads(p.json) if hasattr(p, "json") and not isinstance(p, dict) else p for p in query.recentProgress]
     return SparkSession.active().createDataFrame([r for p in entries for r in _rows(p)], SCHEMA)
 
@@ -29,21 +32,32 @@ def late_rows(progress: DataFrame) -> DataFrame:
 
 
 class ProgressCollector(StreamingQueryListener):
-    """Keeps the last progress rows of all queries of a session."""
+    """Appends every progress update of all queries of a session to a table, so none is lost on a long run.
+
+    One small file for each update (or for each `flush_every` updates, and when a query ends).
+    """
+
+    def __init__(self, spark: SparkSession, path: str, flush_every: int = 1):
+        self.spark, self.path, self.flush_every, self.waiting = spark, path, flush_every, []
 
-    def __init__(self, keep: int = 1000):
-        self.keep, self.rows = keep, []
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).json(self.path)
+
+    def flush(self) -> None:
+        rows, self.waiting = self.waiting, []
+        if rows:
+            self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(self.path)
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
-        import json
-
-        self.rows = (self.rows + _rows(json.loads(event.progress.json)))[-self.keep:]
+        self.waiting += _rows(json.loads(event.progress.json))
+        if len(self.waiting) >= self.flush_every:
+            self.flush()
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        pass
+        self.flush()
