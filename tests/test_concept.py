@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bootstrap as bs, concept as cd, training as tr
 from tidemark.operators.layers import flat_weights, from_flat
-from tidemark.plans.scoring import score_online
 
 DIM = 24
 FAST = cd.ConceptParams(hidden_dim=16, output_dim=8, n_encoders=3, train_epochs=0, scoring_sample_size=100,
@@ -139,13 +138,3 @@ def test_too_small_reference(frame):
     with pytest.raises(ValueError):
         cd.fit_concept(frame({1: np.zeros((1, DIM))}), FAST)
 
-
-def test_online_training_scores_in_order(model, frame):
-    rng = np.random.default_rng(10)
-    stream = frame({100 + i: unit(rng, 80) for i in range(3)})
-    small = cd.ConceptModel(**{**vars(model), "params": cd.ConceptParams(**{**vars(FAST), "n_calibration": 10}), "thresholds": None})
-    online = {r["window_id"]: r for r in score_online(stream, small).collect()}
-    frozen = {r["window_id"]: r for r in cd.mcd_score(stream, small).collect()}
-    assert sorted(online) == [100, 101, 102]
-    assert online[100]["mcddd_score"] == frozen[100]["mcddd_score"]         # before the first step
-    assert online[102]["mcddd_score"] != frozen[102]["mcddd_score"]         # after two steps

@@ -232,7 +232,7 @@ def test_injected_streams_follow_the_plan(spark, pools):
 
 def test_exhausted_pool_and_bad_params(spark, pools):
     large = inj.StreamParams(**{**vars(PARAMS), "window_size": 60})
-    with pytest.raises(ValueError, match="pool exhausted"):
+    with pytest.raises(ValueError, match="the plan draws"):
         inj.inject_drift(pools, inj.injection_plan(spark, large), large)
     with pytest.raises(ValueError):
         inj.check_params(inj.StreamParams(**{**vars(PARAMS), "change_point": 4}))

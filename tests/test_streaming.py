@@ -1,4 +1,5 @@
 import json
+import time
 from pathlib import Path
 
 import numpy as np
@@ -11,7 +12,7 @@ from tidemark.session import shared_folder
 from tidemark.sinks import models
 from tidemark.sources.windows import read_json_stream, read_windows
 from tidemark.streaming import progress, windows as sw
-from tidemark.streaming.scoring import StreamScorer
+from tidemark.streaming.scoring import StreamScorer, latest_scores
 
 ROWS = [
     ("a", "2020-04-19 14:01:00", "first post"), ("a", "2020-04-19 14:01:00", "first post"), ("b", "2020-04-19 14:10:00", "second"),
@@ -108,6 +109,44 @@ def test_scores_follow_the_stream_without_duplicates(spark, vectors, tmp_path):
                 (r["mcddd_score"], r["mcddd_threshold"], r["mcddd_lag"]), rel=1e-4)
 
 
+def test_a_window_that_grows_is_scored_again(spark, vectors, tmp_path):
+    """Half of window 8 arrives a micro-batch later than the rest; all score columns then equal the batch run's."""
+    root = str(tmp_path / "s")
+    late = (F.col("window_id") == 8) & (F.substring_index("post_id", "_", -1).cast("int") >= 30)
+    scorer = StreamScorer(spark, root, 5, FRECHET, CONCEPT)
+    scorer.process(vectors.filter(~late & (F.col("window_id") <= 8)), 0)
+    known = spark.read.parquet(models.newest(spark, f"{root}/frechet", "frechet", "hashing", [1, 2, 3, 4, 5], vars(FRECHET)) + "/model_thresholds").count()
+    StreamScorer(spark, root, 5, FRECHET, CONCEPT).process(vectors.filter(late), 1)
+    StreamScorer(spark, root, 5, FRECHET, CONCEPT).process(vectors.filter("window_id > 8"), 2)
+    assert known >= 2                                              # a restart finds the thresholds calibrated before
+    streamed = {r["window_id"]: r for r in latest_scores(spark, root).collect()}
+    reference = scoring.reference_ids(vectors, 5)
+    batch = scoring.score_windows(vectors, reference, *scoring.fit_detectors(vectors, reference, FRECHET, CONCEPT))
+    skipped = {"processing_latency_ms", "throughput_posts_per_sec"}
+    for r in batch.collect():
+        for c in set(batch.columns) - skipped:
+            assert streamed[r["window_id"]][c] == (pytest.approx(r[c], rel=1e-4) if isinstance(r[c], float) else r[c]), (r["window_id"], c)
+
+
+def test_progress_of_a_long_run_is_kept(spark, tmp_path):
+    source, collector = tmp_path / "in", progress.ProgressCollector(spark, str(tmp_path / "progress"))
+    source.mkdir()
+    for k in range(130):
+        write_messages(source, [(f"p{k}", "2020-04-19", "x")], f"part-{k:03d}.json")
+    spark.streams.addListener(collector)
+    try:
+        stream = read_json_stream(spark, str(source), max_files=1)
+        q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).queryName("long").trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):
+            if collector.table().filter("query = 'long'").agg(F.sum("input_rows")).first()[0] == 130:
+                break
+            time.sleep(0.2)
+        assert collector.table().filter("query = 'long' and input_rows > 0").count() == 130
+    finally:
+        spark.streams.removeListener(collector)
+
+
 def test_micro_batches_leave_no_temporary_tables(spark, vectors, tmp_path):
     def tables():
         root = Path(shared_folder(spark).removeprefix("file:")) / f"tidemark-{spark.sparkContext.applicationId}"
@@ -156,6 +195,8 @@ def test_embeddings(spark, tmp_path):
     cached = em.embed_cached(posts, str(tmp_path / "e"), "m", lambda df: em.embed(df, 32))
     assert cached.count() == 3 and spark.read.parquet(str(tmp_path / "e")).count() == 2
     em.embed_cached(posts, str(tmp_path / "e"), "m", lambda df: em.embed(df, 32))
+    missing = em.embed_cached(spark.createDataFrame([("d", None), ("e", "dose")], "post_id string, text string"), str(tmp_path / "n"), "m", lambda df: em.embed(df, 32))
+    assert {r["post_id"]: any(r["embedding"]) for r in missing.collect()} == {"d": False, "e": True}
     assert spark.read.parquet(str(tmp_path / "e")).count() == 2
 
 

@@ -15,18 +15,16 @@ CLEANING_RULES = (
 )
 
 # Words never counted as keywords.
-STOPWORDS = """
-the a an and or but in on at to for of with
-by from up about into over after is are was were
-be been being have has had do does did can could
-will would shall should may might must it its it's
-this that these those i you he she we they me
-him her us them my your his our their what which
-who whom whose when where why how all any both
-each few more most other some such no nor not only
-own same so than too very s t can't don't just
-now like get new one also even still well way
-""".split()
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about",
+    "into", "over", "after", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does",
+    "did", "can", "could", "will", "would", "shall", "should", "may", "might", "must", "it", "its", "it's", "this",
+    "that", "these", "those", "i", "you", "he", "she", "we", "they", "me", "him", "her", "us", "them", "my", "your",
+    "his", "our", "their", "what", "which", "who", "whom", "whose", "when", "where", "why", "how", "all", "any",
+    "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "s", "t", "can't", "don't", "just", "now", "like", "get", "new", "one", "also", "even",
+    "still", "well", "way",
+)
 
 MIN_TOKEN_LENGTH = 3
 ASCII_WHITESPACE = " \t\n\x0b\f\r"
@@ -53,9 +51,17 @@ def prepare_text(text: Column) -> Column:
     return F.when(F.length(kept) > 0, kept)
 
 
+def raw_tokens(text: Column) -> Column:
+    """All runs of letters and digits that are long enough; stop words and numbers among them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"([a-z0-9]{{{MIN_TOKEN_LENGTH},}})"), F.lit(1))
+
+
+def is_keyword(token: Column) -> Column:
+    return ~token.isin(*STOPWORDS) & ~token.rlike(r"^[0-9]+$")
+
+
 def tokenize(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1))
-    return F.filter(words, lambda w: (F.length(w) >= MIN_TOKEN_LENGTH) & ~w.isin(STOPWORDS) & ~w.rlike(r"^[0-9]+$"))
+    return F.filter(raw_tokens(text), is_keyword)
 
 
 def register_sql(spark: SparkSession) -> None:

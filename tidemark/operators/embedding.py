@@ -36,8 +36,9 @@ def embed_with(posts: DataFrame, factory: Callable, column: str = "text", batch_
 
 
 def cache_misses(posts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """Distinct texts (by SHA-1) without a cached vector of this model."""
-    wanted = posts.select(F.sha1("text").alias("text_sha1"), "text").groupBy("text_sha1").agg(F.min("text").alias("text"))
+    """Distinct texts (by SHA-1) without a cached vector of this model; a NULL text is an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    wanted = posts.select(F.sha1(text).alias("text_sha1"), text.alias("text")).groupBy("text_sha1").agg(F.min("text").alias("text"))
     return wanted.join(cache.filter(F.col("model") == model).select("text_sha1"), "text_sha1", "left_anti")
 
 
@@ -59,4 +60,4 @@ def embed_cached(posts: DataFrame, cache_path: str, model: str, embedder: Callab
     fresh.write.mode("append").parquet(cache_path)
     stored = spark.read.schema(schema).parquet(cache_path).filter(F.col("model") == model)
     unique = stored.dropDuplicates(["text_sha1"]).select("text_sha1", "embedding")
-    return posts.withColumn("text_sha1", F.sha1("text")).join(unique, "text_sha1").drop("text_sha1")
+    return posts.withColumn("text_sha1", F.sha1(F.coalesce("text", F.lit("")))).join(unique, "text_sha1").drop("text_sha1")

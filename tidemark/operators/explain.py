@@ -14,15 +14,19 @@ NO_TERM = ""      # never a token
 
 def _counts_with_texts(posts: DataFrame) -> DataFrame:
     """Occurrences per (window, term) in one pass; the term NO_TERM counts the texts of the window."""
-    marked = F.concat(F.array(F.lit(NO_TERM)), tx.tokenize(F.col("text")))
-    tokens = posts.select("window_id", F.explode(marked).alias("term"))
-    return tokens.groupBy("window_id", "term").agg(F.count("*").alias("n"))
+    marked = F.concat(F.array(F.lit(NO_TERM)), F.coalesce(tx.raw_tokens(F.col("text")), F.array().cast("array<string>")))
+    return _folded(posts.select("window_id", F.explode(marked).alias("term")))
+
+
+def _folded(tokens: DataFrame) -> DataFrame:
+    """Counts per (window, term); stop words and numbers go after the count, where a word is one row and not one per use."""
+    counts = tokens.groupBy("window_id", "term").agg(F.count("*").alias("n"))
+    return counts.filter((F.col("term") == NO_TERM) | tx.is_keyword(F.col("term")))
 
 
 def term_counts(posts: DataFrame) -> DataFrame:
     """Occurrences of every term per window; partial counts fold hot terms before the shuffle."""
-    tokens = posts.select("window_id", F.explode(tx.tokenize(F.col("text"))).alias("term"))
-    return tokens.groupBy("window_id", "term").agg(F.count("*").alias("n"))
+    return _folded(posts.select("window_id", F.explode(tx.raw_tokens(F.col("text"))).alias("term")))
 
 
 def window_pairs(records: DataFrame) -> DataFrame:
@@ -107,16 +111,24 @@ def _keyword_lists(shifts: DataFrame) -> DataFrame:
     return lists
 
 
-def explain(scores: DataFrame, posts: DataFrame, baseline: str = "April 2020") -> DataFrame:
-    """One explanation row per window: metrics, sentence, before/after, keywords, examples, change type.
+def explain(scores: DataFrame, posts: DataFrame, baseline: str = "April 2020", chosen: DataFrame | None = None) -> DataFrame:
+    """One explanation row per window (of `chosen` only, if given): metrics, sentence, before/after, keywords, examples.
 
-    The posts are materialised once and read for the keywords and for the examples.
+    Only posts of the explained windows and of those before them are read; they are materialised once, for the keywords
+    and for the examples.
     """
-    posts = cut_lineage(posts.select("window_id", "event_time", "post_id", "text"))
     compared = cmp.compare(scores)
     used = scores.select("window_id", F.coalesce("n_used", F.lit(0)).alias("n_used"))
-    records = sized(cmp.with_previous(compared).join(used, "window_id"))
+    records = cmp.with_previous(compared).join(used, "window_id")
+    posts = posts.select("window_id", "event_time", "post_id", "text")
+    if chosen is not None:
+        records = records.join(chosen.select("window_id"), "window_id", "left_semi")
+    records = sized(records)
     pairs = records.select("window_id", "before_window_id")
+    if chosen is not None:
+        needed = pairs.select("window_id").union(pairs.select("before_window_id")).distinct()
+        posts = posts.join(sized(needed), "window_id", "left_semi")
+    posts = cut_lineage(posts)
     keywords = _keyword_lists(keyword_shift(posts, pairs))
     examples = first_k(posts).groupBy("window_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("found")
@@ -167,4 +179,19 @@ def report_totals(scores: DataFrame) -> DataFrame:
 def report(scores: DataFrame, posts: DataFrame) -> DataFrame:
     """Explanations of the priority windows with the reason for their selection."""
     chosen = sized(cmp.select_important(cmp.compare(scores)).select("window_id", "reason", "class_rank"))
-    return explain(scores, posts).join(chosen, "window_id")
+    return explain(scores, posts, chosen=chosen).join(chosen, "window_id")
+
+
+def report_document(scores: DataFrame, posts: DataFrame) -> DataFrame:
+    """The report as nested rows, one per priority window, each with the totals of the whole run."""
+    rows = report(scores, posts)
+    totals = F.broadcast(report_totals(scores).select(F.struct("*").alias("totals")))      # one row
+    detectors = F.struct(
+        F.struct("driftlens_score", "driftlens_threshold", "driftlens_ratio", "driftlens_alarm").alias("driftlens"),
+        F.struct("mcddd_score", "mcddd_threshold", "mcddd_ratio", "mcddd_alarm").alias("mcddd"), "agreement", "detector_rationale")
+    before = F.struct(F.col("before_window_id").alias("window_id"), F.col("before_window_start").alias("window_start"),
+                      F.col("before_volume").alias("volume"), F.col("before_examples").alias("examples"))
+    after = F.struct("window_id", "window_start", F.col("after_volume").alias("volume"), "n_used", F.col("after_examples").alias("examples"))
+    changed = F.struct("emerging_keywords", "fading_keywords", "semantic_summary", "change_type", "post_data_available")
+    return rows.select("window_id", "reason", "class_rank", detectors.alias("detector_metrics"), before.alias("before_drift"),
+                       after.alias("after_drift"), changed.alias("what_changed")).join(totals, F.lit(True))

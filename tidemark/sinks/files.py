@@ -27,6 +27,24 @@ def write_comparison(compared: DataFrame, summary: DataFrame, path: str) -> None
     summary.write.mode("overwrite").json(f"{path.rstrip('/')}/comparison_summary")
 
 
+def write_report(document: DataFrame, path: str) -> None:
+    """Nested explanations in priority order, rewritten as a whole."""
+    document.orderBy("class_rank", "window_id").write.mode("overwrite").json(f"{path.rstrip('/')}/report")
+
+
+def write_scenarios(windows: DataFrame, composition: DataFrame, index: DataFrame, truth: DataFrame, path: str) -> None:
+    """Per scenario its windows and its manifest in folders of their own, and one file folder with index and ground truth.
+
+    `truth` has the columns of the nested ground truth beside `scenario`.
+    """
+    root = path.rstrip("/")
+    windows.write.mode("overwrite").partitionBy("scenario").json(f"{root}/windows")
+    composition.write.mode("overwrite").partitionBy("scenario").json(f"{root}/manifest")
+    nested = F.struct(*(c for c in truth.columns if c != "scenario")).alias("ground_truth")
+    totals = index.select("scenario", F.col("n_windows").cast("int").alias("n_windows"), F.col("n_posts").cast("long").alias("n_posts"))
+    truth.select("scenario", nested).join(totals, "scenario", "left").write.mode("overwrite").json(f"{root}/ground_truth")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, quotes doubled, outer whitespace kept; NULL is empty."""
     df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
