@@ -57,21 +57,25 @@ class Element:
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         given = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-        inside = parent is not None and parent.main
+        inside = parent is not None and parent.main > 0
         words = {w.lower() for name in ("class", "id") for w in _WORD.findall(given.get(name, ""))}
         role = given.get("role", "").lower()
         top = tag in ("html", "body", "main") or (tag == "article" and not words & {"comment", "reply", "comments"})
         marked = not top and (bool(words & MARKS) or role in ROLES or (not inside and bool(words & OUTSIDE_MARKS)))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         self.tag = tag
-        self.main = inside or tag in ("article", "main") or role in ("main", "article") or given.get("itemprop") == "articleBody"
-        self.out = (parent is not None and parent.out) or tag in FURNITURE or (tag in OUTSIDE_ONLY and not inside) or marked or hidden
+        # 2: in an article, 1: in the page's main part. A comment's article is furniture, and so is never chosen.
+        here = 2 if tag == "article" or role == "article" or given.get("itemprop") == "articleBody" else 1 if tag == "main" or role == "main" else 0
+        self.main = max(here, parent.main if parent else 0)
+        # 2: furniture by element, role or invisibility, 1: by its class or id words only.
+        level = 2 if tag in FURNITURE or (tag in OUTSIDE_ONLY and not inside) or hidden or role in ROLES else 1 if marked else 0
+        self.out = max(level, parent.out if parent else 0)
         self.furniture_word = "!" if marked or hidden else ""
         self.path = (parent.path + ">" if parent else "") + tag + self.furniture_word
 
 
-def text_blocks(html: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(path, text, in furniture, in an article or main element) of every text block in page order."""
+def text_blocks(html: str) -> Iterator[tuple[str, str, int, int]]:
+    """(path, text, level of furniture, level of main part) of every text block in page order; 0 is neither."""
     stack = [Element("", "", None)]
     words: list[str] = []
     owner = stack[-1]
@@ -218,12 +222,15 @@ def classes_of(known: DataFrame) -> DataFrame:
 def main_text(html: str, texts: frozenset[str], main: str | None) -> str:
     """Blocks of the article's slots, joined by blank lines."""
     blocks = list(text_blocks(html))
-    inside = any(m and not out for _, _, out, m in blocks)
-    if inside:
-        chosen = [(p, t) for p, t, out, m in blocks if m and not out]
-    else:
-        chosen = [(p, t) for p, t, out, _ in blocks if not out and (p + ">").startswith(main + ">")] if main else []
-        chosen = chosen or [(p, t) for p, t, out, _ in blocks if not out]
+    chosen: list[tuple[str, str]] = []
+    # Class words also name layouts ("with-sidebar"), so they are set aside where they would leave nothing.
+    for allowed in (0, 1):
+        own = [(p, t, m) for p, t, out, m in blocks if out <= allowed]
+        best = max((m for _, _, m in own), default=0)
+        chosen = [(p, t) for p, t, m in own if m == best] if best else [(p, t) for p, t, _ in own if main and (p + ">").startswith(main + ">")]
+        chosen = chosen or [(p, t) for p, t, _ in own]
+        if chosen:
+            break
     return "\n\n".join(t for p, t in chosen if f"{p}|{_short(t)}" not in texts)
 
 
