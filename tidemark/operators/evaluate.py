@@ -163,7 +163,7 @@ def _percent(rate: str) -> Column:
 
 
 def summary_rows(metrics: DataFrame, truth: DataFrame) -> DataFrame:
-    """Text cells of the scenario summary table."""
+    """Text cells of the scenario summary table; a scenario of `truth` without scores is a row "not run"."""
     start, end = F.col("drift_start"), F.col("drift_end")
     expected = (
         F.when(start.isNotNull(), F.concat(F.lit("drift at "), start.cast("string"), F.when(
@@ -175,6 +175,10 @@ def summary_rows(metrics: DataFrame, truth: DataFrame) -> DataFrame:
     is_drift, is_volume = start.isNotNull(), start.isNull() & F.col("volume_change").isNotNull()
     first = F.coalesce(F.format_string("%d (+%d)", F.col("first_alarm_after_drift"), F.col("detection_delay")), F.lit("none"))
     first = F.when(F.col("first_alarm_after_drift").isNull(), "none").otherwise(first)
+    none = F.lit("-")
+    idle = truth.join(metrics.select("scenario").distinct(), "scenario", "left_anti").select(
+        "scenario", none.alias("detector"), none.alias("expected"), F.lit("not run").alias("stream_alarms"),
+        none.alias("false_alarms"), none.alias("first_alarm"), none.alias("alarm_rate_after"))
     return metrics.join(truth, "scenario").select(
         "scenario", "detector", expected.alias("expected"),
         F.concat_ws("/", F.col("alarms").cast("string"), F.col("stream_windows").cast("string")).alias("stream_alarms"),
@@ -185,7 +189,7 @@ def summary_rows(metrics: DataFrame, truth: DataFrame) -> DataFrame:
         F.when(is_drift, _percent("alarm_rate_after_drift"))
         .when(is_volume, F.concat(_percent("false_alarm_rate_after_volume_change"), F.lit(" (any alarm is false)")))
         .otherwise("-").alias("alarm_rate_after"),
-    )
+    ).unionByName(idle)
 
 
 def markdown(summary: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 """Session settings, lineage cuts and the size check behind every broadcast."""
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -6,10 +7,12 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
-# Largest row count of a key-and-number frame that is sent to every executor (some tens of MB).
-BROADCAST_ROWS = 500_000
+# Largest frame that is sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+_roots: set[str] = set()
 _owned: ContextVar[list | None] = ContextVar("tables of the running block", default=None)
 
 
@@ -64,15 +67,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _remove(jvm, configuration, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(configuration).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise rows once as a table in the shared folder, so later passes see the very same rows.
 
     Unlike `checkpoint()` this computes the plan once, and readers get column pruning and real sizes.
     The tables live briefly, so no dictionaries are built. All tables of a session lie under one folder
-    named after the application.
+    named after the application, which is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.option("parquet.enable.dictionary", "false").parquet(path)
     if _owned.get() is not None:
         _owned.get().append(path)
@@ -90,8 +102,7 @@ def temporary_tables(spark: SparkSession):
         yield
     finally:
         for path in _owned.get():
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
         _owned.reset(token)
 
 
@@ -101,10 +112,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Checkpoint a per-window or per-key frame and mark it for broadcast only if it is small.
+def _row_bytes(schema: StructType) -> Column:
+    """Size of a row, about: variable parts by their length, everything else as eight bytes."""
+    total = F.lit(0).cast("long")
+    for field in schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            size = F.octet_length(column)
+        elif isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, NumericType):
+            size = 8 * F.size(column)
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            size = F.octet_length(F.to_json(column))
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(0)).cast("long")
+    return total
+
+
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Checkpoint a per-window or per-key frame and mark it for broadcast only if it is small, in rows and in bytes.
 
-    Beyond `max_rows` the frame is returned unmarked and Spark joins it by shuffle.
+    Beyond either bound the frame is returned unmarked and Spark joins it by shuffle.
     """
     kept = settle(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    found = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes(kept.schema)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(kept) if found["n"] <= max_rows and found["bytes"] <= max_bytes else kept
