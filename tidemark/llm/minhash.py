@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import blocks as tb
 from tidemark.llm.graph import components
-from tidemark.session import cut_lineage
+from tidemark.llm.scratch import Scratch
 
 N_PERMUTATIONS, BAND = 192, 6
 SKETCHED = 128               # signature values whose last two bits are sketched
@@ -121,48 +121,52 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     smallest). Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketch = cut_lineage(docs.mapInArrow(
+    scratch = Scratch(docs.sparkSession)
+    sketch = scratch.keep("sketch", docs.mapInArrow(
         _sketch(n), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH)))
-    classes = cut_lineage(sketch.where("d1 is not null").groupBy("d1", "d2").agg(
+    classes = scratch.keep("classes", sketch.where("d1 is not null").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1 and class_id is not null"))
-    member = cut_lineage(sketch.join(classes, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles", "bands", *SKETCH, F.coalesce("class_id", "doc_id").alias("class_id")))
+    classed = sketch.join(classes, ["d1", "d2"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    member = scratch.keep("member", classed.select("doc_id", "n_shingles", "class_id"))
     # One row of each class goes on; repeated rows of its doc_id have equal bands or another text under the same id.
-    first = member.where("doc_id = class_id and n_shingles > 0")
+    first = classed.where("doc_id = class_id and n_shingles > 0").select("doc_id", "n_shingles", "bands", *SKETCH)
     entries = first.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = cut_lineage(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    hits = cut_lineage(entries.join(shared, "bucket"))
-    rank = cut_lineage(hits.groupBy("doc_id").agg(F.sum("size").alias("rank")).join(first.select("doc_id", "n_shingles", *SKETCH), "doc_id"))
-    hits = cut_lineage(hits.join(rank, "doc_id").select("bucket", "doc_id", "n_shingles", "rank", *SKETCH))
-    centres = cut_lineage(hits.groupBy("bucket").agg(
+    shared = scratch.keep("shared", entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    hits = scratch.keep("plain-hits", entries.join(shared, "bucket"))
+    rank = scratch.keep("rank", hits.groupBy("doc_id").agg(F.sum("size").alias("rank")).join(first.drop("bands"), "doc_id"))
+    hits = scratch.keep("hits", hits.join(rank, "doc_id").select("bucket", "doc_id", "n_shingles", "rank", *SKETCH))
+    scratch.drop("sketch", "classes", "shared", "plain-hits")
+    centres = scratch.keep("centres", hits.groupBy("bucket").agg(
         F.max(F.struct("rank", (-F.col("doc_id")).alias("minus"), "n_shingles", *SKETCH)).alias("c"))
         .select("bucket", (-F.col("c.minus")).alias("b"), F.col("c.n_shingles").alias("nb"), *(F.col(f"c.{c}").alias(f"b{c}") for c in SKETCH)))
 
     def close(na, nb):
         return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
-    star = cut_lineage(hits.join(centres, "bucket").where(
+    star = scratch.keep("star", hits.join(centres, "bucket").where(
         (F.col("doc_id") != F.col("b")) & close(F.col("n_shingles"), F.col("nb")) & _alike("s", "bs", percent))
         .select(F.col("doc_id").alias("a"), "b").distinct())
-    wanted = cut_lineage(rank.select("doc_id").distinct())
-    sets = cut_lineage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(
+    wanted = scratch.keep("wanted", rank.select("doc_id").distinct())
+    sets = scratch.keep("sets", docs.join(wanted, "doc_id", "left_semi").mapInArrow(
         _sets(n), "doc_id bigint, shingles array<bigint>"))
-    edges = cut_lineage(_confirmed(star, sets, percent))
+    edges = scratch.keep("edges", _confirmed(star, sets, percent))
+    scratch.drop("centres", "wanted")
     found = components(edges)
-    placed = cut_lineage(hits.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = scratch.keep("placed", hits.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                          .withColumn("component", F.coalesce("component", "doc_id")))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo <> hi").select("bucket")
-    open_rows = cut_lineage(placed.join(mixed, "bucket", "left_semi"))
+    open_rows = scratch.keep("open-rows", placed.join(mixed, "bucket", "left_semi"))
 
     def side(x: str) -> DataFrame:
         return open_rows.select("bucket", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("component").alias(f"c{x}"),
                                 *(F.col(c).alias(x + c) for c in SKETCH))
 
-    rest = cut_lineage(side("a").join(side("b"), "bucket").where(
+    rest = scratch.keep("rest", side("a").join(side("b"), "bucket").where(
         (F.col("ca") < F.col("cb")) & close(F.col("na"), F.col("nb")) & _alike("as", "bs", percent)).select("a", "b").distinct())
-    edges = edges.union(_confirmed(rest, sets, percent))
-    found = components(cut_lineage(edges))
+    edges = scratch.keep("all-edges", edges.union(_confirmed(rest, sets, percent)))
+    scratch.drop("sets", "hits", "placed", "open-rows", "rest", "star", "edges")
+    found = components(edges)
     return member.select("doc_id", "n_shingles", "class_id").join(
         found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")).withColumn(
