@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = (1 << 20) - 1       # tables of powers for it have 2**20 entries
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -62,37 +62,46 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class SpanHash:
-    """Polynomial hash modulo 2**64: after one prefix sum the hash of any span costs two look-ups.
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, one table for all hashes of a process."""
 
-    The base is odd and so has an inverse; bytes map to random 64-bit values. Spans with equal bytes have
-    equal hashes in every block, task and run.
-    """
+    BASE = 0x5851F42D4C957F2D        # odd, and 5 modulo 8, so its powers have the greatest period
 
-    def __init__(self, seed: int, table: np.ndarray | None = None):
-        rng = np.random.default_rng(seed)
-        self.values = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        if table is not None:
-            self.values = self.values[table]
-        self.base = int(rng.integers(0, 2**61, dtype=np.uint64)) * 8 + 5
+    def __init__(self):
         self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
+    def grow(self, n: int) -> None:
         if n > len(self.powers):
             n = 1 << (n - 1).bit_length()
-            for name, base in (("powers", self.base), ("inverses", pow(self.base, -1, 2**64))):
-                steps = np.full(n, base % 2**64, np.uint64)
+            for name, base in (("powers", self.BASE), ("inverses", pow(self.BASE, -1, 2**64))):
+                steps = np.full(n, base, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
+
+POWERS = Powers()
+
+
+class SpanHash:
+    """Polynomial hash modulo 2**64: after one prefix sum the hash of any span costs two look-ups.
+
+    Bytes map to random 64-bit values, other ones for each seed, so hashes of different seeds are independent. Spans
+    with equal bytes have equal hashes in every block, task and run.
+    """
+
+    def __init__(self, seed: int, table: np.ndarray | None = None):
+        self.values = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64)
+        if table is not None:
+            self.values = self.values[table]
+
     def prefixes(self, flat: np.ndarray) -> np.ndarray:
-        self._grow(len(flat) + 1)
+        POWERS.grow(len(flat) + 1)
         out = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum(self.values[flat] * self.powers[:len(flat)], out=out[1:])
+        np.cumsum(self.values[flat] * POWERS.powers[:len(flat)], out=out[1:])
         return out
 
     def spans(self, prefixes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((prefixes[ends] - prefixes[starts]) * self.inverses[starts])
+        return mix((prefixes[ends] - prefixes[starts]) * POWERS.inverses[starts])
 
 
 def chained(words: np.ndarray, n: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from tidemark.llm import blocks as tb
 
 # Distinct words that a Python worker keeps encoded; beyond, it starts anew. It changes speed, not results.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 # The white space characters of Unicode.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 BLANK, LETTER, NUMBER, OTHER = range(4)

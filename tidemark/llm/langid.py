@@ -25,7 +25,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 CALIBRATION_SHARE = 5                     # one text in so many sets the temperature
 UNKNOWN = "und"
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = tb.BLOCK_BYTES
 _FACTORS = np.random.default_rng(61).integers(0, 2**31, 2 * max(ORDERS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 

@@ -33,7 +33,7 @@ from tidemark.llm.scratch import Scratch
 
 LENGTH, GRAM, RUN = 200, 64, 8
 BUCKET_ROWS = 1_000_000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = tb.BLOCK_BYTES
 # Windows that one step of the anchor search takes, and the low bits that hold a place inside a step.
 _STEP, _PLACE = 1 << 16, np.uint64((1 << 18) - 1)
 _GRAMS, _SEGMENTS = tb.SpanHash(41), tb.SpanHash(42)
@@ -70,7 +70,7 @@ class Anchors:
             self.gram = self.segment = np.zeros(0, np.uint64)
             return
         prefix = _GRAMS.prefixes(flat)
-        hashes = tb.mix((prefix[gram:] - prefix[:-gram]) * _GRAMS.inverses[:len(flat) - gram + 1])
+        hashes = tb.mix((prefix[gram:] - prefix[:-gram]) * tb.POWERS.inverses[:len(flat) - gram + 1])
         place = _places(hashes, n, length - gram + 1)[inside]
         rows = rows[inside]
         head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])])

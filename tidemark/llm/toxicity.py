@@ -133,7 +133,7 @@ def _matcher(terms: tuple[str, ...]) -> "Matcher":
 class Matcher:
     """Hits of the lexicon in texts; distinct words that were matched once are kept up to a bound."""
 
-    KEPT = 500_000
+    KEPT = 300_000
 
     def __init__(self, terms: tuple[str, ...]):
         self.trie = Trie(list(terms))
