@@ -100,13 +100,45 @@ def _sets(n: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with the sizes of both sets, what is common, what only a has, and whether they link."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("common", common) \
-        .where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"),
+        F.array_except("sa", "sb").alias("added"))
+    return both.withColumn("links", 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
+
+
+def _around(measured: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one centre, in different components, that may still link.
+
+    measured: (centre, doc, n, common with the centre, added, component, component of the centre). Two members have in
+    common what both share with the centre and what both added to it. So a pair that added nothing in common has at most
+    the smaller of their shares with the centre, which suffices only for a member shorter than the centre; all other
+    pairs meet in an added shingle. Members that link with the centre are not compared with each other.
+    """
+    outer = measured.where("component <> home")
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("centre", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"c{x}"), F.col("component").alias(f"k{x}"), "added")
+
+    def near() -> Column:
+        return (F.col("ka") != F.col("kb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def added(df: DataFrame, x: str) -> DataFrame:
+        return side(df, x).withColumn("shingle", F.explode("added")).drop("added")
+
+    met = added(outer, "a").join(added(measured, "b"), ["centre", "shingle"]).where(near()).select("a", "b")
+    # A pair without a common addition: percent * (na + nb) <= (100 + percent) * least(ca, cb).
+    reach = F.floor((100 + percent) * F.col("common") / percent) - F.col("n")
+    short = measured.groupBy("centre").agg(F.min("n").alias("least"))
+    far = outer.withColumn("reach", reach).join(short, "centre").where("reach >= least").drop("least")
+    limit = far.groupBy("centre").agg(F.max("reach").alias("limit"))
+    small = measured.join(limit, "centre").where("n <= limit").drop("limit")
+    rest = side(far, "a").drop("added").join(side(small, "b").drop("added"), "centre").where(
+        near() & (percent * (F.col("na") + F.col("nb")) <= (100 + percent) * F.least("ca", "cb"))).select("a", "b")
+    return met.union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -149,23 +181,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     wanted = scratch.keep("wanted", rank.select("doc_id").distinct())
     sets = scratch.keep("sets", docs.join(wanted, "doc_id", "left_semi").mapInArrow(
         _sets(n), "doc_id bigint, shingles array<bigint>"))
-    edges = scratch.keep("edges", _confirmed(star, sets, percent))
-    scratch.drop("centres", "wanted")
-    found = components(edges)
-    placed = scratch.keep("placed", hits.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                         .withColumn("component", F.coalesce("component", "doc_id")))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo <> hi").select("bucket")
-    open_rows = scratch.keep("open-rows", placed.join(mixed, "bucket", "left_semi"))
-
-    def side(x: str) -> DataFrame:
-        return open_rows.select("bucket", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("component").alias(f"c{x}"),
-                                *(F.col(c).alias(x + c) for c in SKETCH))
-
-    rest = scratch.keep("rest", side("a").join(side("b"), "bucket").where(
-        (F.col("ca") < F.col("cb")) & close(F.col("na"), F.col("nb")) & _alike("as", "bs", percent)).select("a", "b").distinct())
-    edges = scratch.keep("all-edges", edges.union(_confirmed(rest, sets, percent)))
-    scratch.drop("sets", "hits", "placed", "open-rows", "rest", "star", "edges")
+    measured = scratch.keep("measured", _compared(star, sets, percent))
+    links = scratch.keep("links", measured.where("links").select("a", "b"))
+    found = components(links).withColumnRenamed("node", "doc_id")
+
+    def placed(df: DataFrame, doc: str, component: str) -> DataFrame:
+        named = found.select(F.col("doc_id").alias(doc), F.col("component").alias(component))
+        return df.join(named, doc, "left").withColumn(component, F.coalesce(component, doc))
+
+    around = placed(placed(measured.select(F.col("b").alias("centre"), F.col("a").alias("doc"), F.col("na").alias("n"), "common", "added"),
+                           "doc", "component"), "centre", "home")
+    around = scratch.keep("around", around)
+    # Members that were not compared with their bucket's centre meet the others in the bucket, by their sketches.
+    seen = star.select(F.col("a").alias("doc_id"), "b", F.lit(True).alias("seen"))
+    spread = placed(hits.join(centres.select("bucket", "b"), "bucket").where("doc_id <> b").join(seen, ["doc_id", "b"], "left"), "doc_id", "component")
+    loose = spread.where("seen is null").select("bucket").distinct()
+    spread = scratch.keep("spread", spread.join(loose, "bucket", "left_semi"))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("bucket", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("component").alias(f"c{x}"),
+                         F.coalesce("seen", F.lit(False)).alias(f"seen{x}"), *(F.col(c).alias(x + c) for c in SKETCH))
+
+    unseen = side(spread.where("seen is null"), "a").join(side(spread, "b"), "bucket").where(
+        (F.col("ca") != F.col("cb")) & (F.col("seenb") | (F.col("a") < F.col("b"))) & close(F.col("na"), F.col("nb")) & _alike("as", "bs", percent))
+    rest = scratch.keep("rest", _around(around, percent).union(
+        unseen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    more = scratch.keep("more", _compared(rest, sets, percent).where("links").select("a", "b"))
+    edges = scratch.keep("edges", links.union(more))
+    scratch.drop("sets", "hits", "centres", "star", "measured", "links", "around", "spread", "rest", "more", "wanted")
     found = components(edges)
     return member.select("doc_id", "n_shingles", "class_id").join(
         found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
