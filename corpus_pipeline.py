@@ -44,12 +44,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids", "decoded")
 
 
+def _bounded(stage):
+    """The stage with Arrow batches of BATCH_ROWS rows, so that a Python worker holds few whole texts at a time."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    run_stage.__doc__, run_stage.__name__ = stage.__doc__, stage.__name__
+    return run_stage
+
+
+BATCH_ROWS = 1_000
 STAGES = [
-    ("quality rules", quality_rules),
-    ("near-duplicates", near_duplicates),
-    ("repeated passages", repeated_passages),
-    ("benchmark items", benchmark_items),
-    ("tokens", tokens),
+    ("quality rules", _bounded(quality_rules)),
+    ("near-duplicates", _bounded(near_duplicates)),
+    ("repeated passages", _bounded(repeated_passages)),
+    ("benchmark items", _bounded(benchmark_items)),
+    ("tokens", _bounded(tokens)),
 ]
 # Expectation-maximisation of the first stage is not SQL; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
