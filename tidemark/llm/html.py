@@ -1,14 +1,16 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Tokens of a page are its element paths (tags, with the class and id words that mark page furniture) and its text
+Tokens of a page are its element paths (tags with their class words, marked where these name page furniture) and its text
 blocks under their path. Over all pages of a host every token has an occurrence vector: how often each page has it.
 Tokens with equal vectors form an equivalence class; Spark folds a hash of (page, count) over each token's pages, so
-equal vectors have equal folds and no host is ever held in one task. A class is valid if it has support, that is if
-its vector covers enough of the host's pages. Valid classes nest by path, for an element has at least the support of
-what lies in it; together they are the host's template: elements that its pages share, and texts that are the same
-page after page. What the template leaves open are its slots.
-Extraction takes the slots of the article: the blocks under an article or main element or, without one, under the
-host's deepest shared element that holds most of the text, less template texts and page furniture.
+equal vectors have equal folds and no host is ever held in one task. A class is valid if it has support and size: so
+many pages, whatever share of the host they are, and so many tokens. Each layout of a host so has its own classes.
+Valid classes nest by path: a text is of the template if an element at or above it is of its class, so a text that
+merely recurs (a by-line, an article that stands on several pages) is none. What the template leaves open are its slots.
+Extraction goes down from the root through the template's elements as long as one of them holds most of the slots'
+text, and takes the slots below. Items of a list or table are one slot as soon as one of them is open.
+Elements and class words (article, sidebar) decide only what the classes leave open: among nested elements that all
+hold most of the text, among the slots of the chosen element, and on hosts with too few pages for a template.
 
 Pages with equal html count once in the vectors, so copies of an article do not turn it into a template.
 """
@@ -16,18 +18,16 @@ import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
-from urllib.parse import urlsplit
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.scratch import Scratch
 
-# A template token stands on this share of a host's pages, and on so many pages at least.
-SUPPORT, LEAST_PAGES = 0.5, 4
-# Template rows up to this many bytes are sent to every executor; beyond, Spark joins them by shuffle.
-BROADCAST_BYTES = 32 << 20
+# A valid class has so many pages and tokens at least; an element is gone into if it holds this share of the open text.
+LEAST_PAGES, LEAST_TOKENS, MOST = 4, 2, 0.6
+# Template rows up to this many bytes are sent to every executor; beyond, Spark joins them with the tokens of the pages.
+BROADCAST_BYTES = 8 << 20
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -45,15 +45,8 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
-
-
 class Element:
-    __slots__ = ("tag", "path", "out", "main", "furniture_word")
+    __slots__ = ("tag", "path", "out", "main", "top", "parent", "furniture_word")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         given = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
@@ -71,11 +64,16 @@ class Element:
         level = 2 if tag in FURNITURE or (tag in OUTSIDE_ONLY and not inside) or hidden or role in ROLES else 1 if marked else 0
         self.out = max(level, parent.out if parent else 0)
         self.furniture_word = "!" if marked or hidden else ""
-        self.path = (parent.path + ">" if parent else "") + tag + self.furniture_word
+        # Siblings of one tag are told apart by their class words; a top element's often name the page, not its layout.
+        named = "" if top else "".join("." + w.lower() for w in _WORD.findall(given.get("class", "")) if not w.isdigit())
+        self.path = (parent.path + ">" if parent else "") + tag + named + self.furniture_word
+        self.parent = parent
+        # Path of the article or main element that this one lies in.
+        self.top = (parent.top if parent else "") if self.main == (parent.main if parent else 0) else self.path
 
 
-def text_blocks(html: str) -> Iterator[tuple[str, str, int, int]]:
-    """(path, text, level of furniture, level of main part) of every text block in page order; 0 is neither."""
+def text_blocks(html: str) -> Iterator[tuple[Element, str]]:
+    """(innermost element, text) of every text block in page order."""
     stack = [Element("", "", None)]
     words: list[str] = []
     owner = stack[-1]
@@ -105,7 +103,7 @@ def text_blocks(html: str) -> Iterator[tuple[str, str, int, int]]:
         if tag not in INLINE:
             text = flush()
             if text:
-                yield owner.path, text, owner.out, owner.main
+                yield owner, text
         if found[2]:
             if any(e.tag == tag for e in stack[1:]):
                 while stack[-1].tag != tag:
@@ -137,7 +135,7 @@ def text_blocks(html: str) -> Iterator[tuple[str, str, int, int]]:
         stack.append(element)
     text = flush()
     if text:
-        yield owner.path, text, owner.out, owner.main
+        yield owner, text
 
 
 def _block_owner(stack: list[Element]) -> Element:
@@ -159,21 +157,28 @@ def hash_text(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
+def text_token(owner: Element, text: str) -> str:
+    return f"T{owner.path}|{_short(text)}"
+
+
 def page_tokens(html: str) -> dict[str, list[int]]:
-    """Token -> [count, characters of text at or below it] of a page."""
+    """Token -> [occurrences, characters of text at or below it that is not furniture] of a page."""
     found: dict[str, list[int]] = {}
+    seen: set[Element] = set()
 
     def add(token: str, size: int, times: int) -> None:
         line = found.setdefault(token, [0, 0])
         line[0] += times
         line[1] += size
 
-    for path, text, out, _ in text_blocks(html):
-        add(f"T{path}|{_short(text)}", len(text), 1)
-        if not out:
-            steps = path.split(">")
-            for k in range(1, len(steps) + 1):
-                add("E" + ">".join(steps[:k]), len(text), 1 if k == len(steps) else 0)
+    for owner, text in text_blocks(html):
+        size = 0 if owner.out else len(text)
+        add(text_token(owner, text), size, 1)
+        element = owner
+        while element is not None:
+            add("E" + element.path, size, element not in seen)
+            seen.add(element)
+            element = element.parent
     return found
 
 
@@ -182,56 +187,93 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 200):
             part = batch.slice(start, 200)
             seen: dict[tuple, None] = {}
-            for url, html in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
+            for host, page, html in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))):
                 if html:
-                    host, page = host_of(url), hash_text(html)
                     for token, (count, size) in page_tokens(html).items():
                         seen[(host, page, token, count, size)] = None
-                    seen[(host, page, "P", 1, 0)] = None
             cols = list(zip(*seen)) or [[]] * 5
-            pages = np.array(cols[1], np.uint64).view(np.int64) if seen else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(pages), pa.array(cols[2], pa.string()),
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()),
                                               pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())], names=["host", "page", "token", "times", "size"])
 
 
-def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, texts, main): path-and-text tokens of the template, and the path that holds most of the text (or null)."""
-    rows = pages.select("url", "html").mapInArrow(_tokens, "host string, page bigint, token string, times int, size int")
-    once = rows.groupBy("host", "token", "page").agg(F.max("times").alias("times"), F.max("size").alias("size"))
-    vectors = scratch.keep("vectors", once.groupBy("host", "token").agg(
-        F.count("*").alias("n"), F.sum("size").alias("size"),
-        F.bit_xor(F.xxhash64("page", "times")).alias("vector")).where(f"n >= {LEAST_PAGES}"))
-    hosts = vectors.where("token = 'P'").select("host", F.col("n").alias("pages"))
-    known = vectors.where("token <> 'P'").join(hosts, "host").where(F.col("n") >= SUPPORT * F.col("pages"))
-    texts = classes_of(known).groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
-    body = known.where("token = 'Ehtml>body' or token = 'Ebody' or token = 'E'").groupBy("host").agg(F.max("size").alias("all"))
-    depth = F.size(F.split("token", ">"))
-    main = known.where("token like 'E%>%'").join(body, "host").where(F.col("size") >= 0.6 * F.col("all")) \
-        .groupBy("host").agg(F.max(F.struct(depth.alias("depth"), "size", F.expr("substring(token, 2)").alias("path"))).alias("m")).select("host", F.col("m.path").alias("main"))
-    return scratch.keep("templates", texts.join(main, "host", "full_outer"))
+def page_rows(pages: DataFrame) -> DataFrame:
+    """(host, page, token, times, size) of (host, page, html); page is a hash of the html, so equal pages are one."""
+    return pages.select("host", "page", "html").mapInArrow(_tokens, "host string, page bigint, token string, times int, size int")
 
 
-def classes_of(known: DataFrame) -> DataFrame:
-    """(host, vector, n, paths, texts): equivalence classes of supported tokens, their element paths and texts."""
-    def named(kind: str):
-        return F.array_sort(F.collect_set(F.when(F.col("token").startswith(kind), F.expr("substring(token, 2)"))))
+def _steps(path: str) -> Column:
+    """The path and all paths above it."""
+    return F.expr(f"transform(sequence(1, size(split({path}, '>'))), k -> array_join(slice(split({path}, '>'), 1, k), '>'))")
 
-    return known.groupBy("host", "vector", "n").agg(named("E").alias("paths"), named("T").alias("texts"))
 
-
-def main_text(html: str, texts: frozenset[str], main: str | None) -> str:
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, token, weight): the template's texts, and its elements that a page has once with their mean open text."""
+    once = page_rows(pages).groupBy("host", "token", "page").agg(F.max("times").alias("times"), F.max("size").alias("size"))
+    vectors = scratch.keep("vectors", once.groupBy("host", "token").agg(
+        F.count("*").alias("n"), F.sum("size").alias("size"), F.max("times").alias("most"),
+        F.bit_xor(F.xxhash64("page", "times")).alias("vector")).where(f"n >= {LEAST_PAGES}"))
+    valid = vectors.join(classes_of(vectors), ["host", "vector", "n"], "left_semi")
+    elements = valid.where("token like 'E%'").withColumn("path", F.expr("substring(token, 2)"))
+    texts = valid.where("token like 'T%'").withColumn("path", F.expr("substring(token, 2, length(token) - 18)"))
+    # A class nests by path: its texts lie in its elements.
+    above = texts.select("host", "token", "vector", "n", "size", F.explode(_steps("path")).alias("path"))
+    nested = above.join(elements.select("host", "vector", "n", "path"), ["host", "vector", "n", "path"], "left_semi").select("host", "token").distinct()
+    fixed = above.join(nested, ["host", "token"], "left_semi").groupBy("host", "path").agg(F.sum("size").alias("fixed"))
+    open_ = (F.col("size") - F.coalesce("fixed", F.lit(0))) / F.col("n")
+    containers = elements.where("most = 1").join(fixed, ["host", "path"], "left").select("host", "token", open_.cast("double").alias("weight"))
+    return scratch.keep("templates", containers.unionByName(nested.withColumn("weight", F.lit(0.0))))
+
+
+def classes_of(vectors: DataFrame) -> DataFrame:
+    """(host, vector, n): valid equivalence classes."""
+    return vectors.groupBy("host", "vector", "n").agg(F.count("*").alias("size")).where(f"size >= {LEAST_TOKENS}").drop("size")
+
+
+def _below(path: str, region: str) -> bool:
+    return path == region or path.startswith(region + ">")
+
+
+def region_of(values: list[tuple[Element, str]], template: dict[str, float]) -> str:
+    """Path of the deepest element of the template, reached from the root, that holds most of the open text."""
+    region = ""
+    while True:
+        sizes: dict[str, float] = {}
+        deeper = set()
+        for owner, text in values:
+            if _below(owner.path, region):
+                rest = owner.path[len(region) + 1:].split(">") if owner.path != region else []
+                kid = f"{region}>{rest[0]}" if rest else ""
+                sizes[kid] = sizes.get(kid, 0) + len(text)
+                if len(rest) > 1:
+                    deeper.add(kid)
+        for kid in sizes:
+            if kid:
+                sizes[kid] = template.get("E" + kid, sizes[kid])
+        best = max(sizes, key=lambda k: (sizes[k], k), default="")
+        # An element whose open text stands in it directly is a slot itself.
+        if best not in deeper or "E" + best not in template or sizes[best] < MOST * sum(sizes.values()) or not sizes[best]:
+            return region
+        region = best
+
+
+def main_text(html: str, template: dict[str, float]) -> str:
     """Blocks of the article's slots, joined by blank lines."""
     blocks = list(text_blocks(html))
-    chosen: list[tuple[str, str]] = []
+    is_open = [text_token(owner, text) not in template for owner, text in blocks]
+    open_items = {(owner.parent.path, owner.tag) for (owner, _), o in zip(blocks, is_open) if o and owner.tag in ITEMS}
+    chosen: list[tuple[Element, str]] = []
     # Class words also name layouts ("with-sidebar"), so they are set aside where they would leave nothing.
     for allowed in (0, 1):
-        own = [(p, t, m) for p, t, out, m in blocks if out <= allowed]
-        best = max((m for _, _, m in own), default=0)
-        chosen = [(p, t) for p, t, m in own if m == best] if best else [(p, t) for p, t, _ in own if main and (p + ">").startswith(main + ">")]
-        chosen = chosen or [(p, t) for p, t, _ in own]
+        values = [(e, t) for (e, t), o in zip(blocks, is_open) if e.out <= allowed and (o or e.tag in ITEMS and (e.parent.path, e.tag) in open_items)]
+        region = region_of(values, template)
+        chosen = [(e, t) for e, t in values if _below(e.path, region)]
+        best = max((e.main for e, _ in chosen), default=0)
+        if best:
+            tops = {e.top for e, _ in chosen if e.main == best}
+            chosen = [(e, t) for e, t in values if e.main == best and e.top in tops]
         if chosen:
             break
-    return "\n\n".join(t for p, t in chosen if f"{p}|{_short(t)}" not in texts)
+    return "\n\n".join(t for _, t in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -242,26 +284,31 @@ def extract(pages: DataFrame) -> DataFrame:
     that repeat are extracted each.
     """
     scratch = Scratch(pages.sparkSession)
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    pages = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html").alias("page"))
     found = templates(pages, scratch)
-    size = found.agg(F.sum(F.length(F.concat_ws("", "texts")) + 64)).first()[0] or 0
-    hosted = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    size = found.agg(F.sum(F.length("host") + F.length("token") + 64)).first()[0] or 0
+    small = size <= BROADCAST_BYTES
+    hosts: dict[str, dict[str, float]] = {}
+    if small:
+        for line in found.toArrow().to_pylist():
+            hosts.setdefault(line["host"], {})[line["token"]] = line["weight"]
+        given = pages
+    else:
+        # Of its host's template every page gets the tokens that it has.
+        own = page_rows(pages).select("host", "page", "token").distinct().join(found, ["host", "token"])
+        given = pages.join(own.groupBy("host", "page").agg(F.collect_list(F.struct("token", "weight")).alias("template")), ["host", "page"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, frozenset[str]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                out = []
-                for html, texts, main in zip(*(part.column(c).to_pylist() for c in ("html", "texts", "main"))):
-                    key = tuple(texts or ())
-                    if key not in kept:
-                        if len(kept) > 1000:
-                            kept.clear()
-                        kept[key] = frozenset(key)
-                    out.append(main_text(html or "", kept[key], main))
+                if small:
+                    own = [hosts.get(h, {}) for h in part.column("host").to_pylist()]
+                else:
+                    own = [{line["token"]: line["weight"] for line in lines or ()} for lines in part.column("template").to_pylist()]
+                out = [main_text(html or "", template) for html, template in zip(part.column("html").to_pylist(), own)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    small = size <= BROADCAST_BYTES
-    joined = pages.select("page_id", "url", "html", hosted.alias("host")).join(F.broadcast(found) if small else found, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "texts", "main").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return given.mapInArrow(run, f"page_id {kind}, url string, text string")
