@@ -4,7 +4,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat, contamination, html, langid, lm, minhash, quality, suffixes, toxicity
+from tidemark.llm import bpe, chat, contamination, html, langid, lm, minhash, quality, repair, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -115,3 +115,47 @@ def op4_lm(spark, sf_dir):
     """Log-likelihood of every document; one fold is never learned from."""
     docs = lm.held_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lm.held_out(lm.score(docs, docs.where("not held_out")))
+
+
+@query("""
+with recursive key as (select *, list_transform(range(1, len(k) + 1), lambda x: ascii(k[x])::bigint) bytes from (
+    select conv_id, turn, coalesce(role, ' ') role_, coalesce(text, ' ') text_,
+           coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k from conversations)),
+dealt as (select *, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda crc, b: list_reduce(
+    list_prepend(xor(crc, b), range(8)), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))) % 20 h from key),
+d as (select conv_id, turn, case h when 4 then 'user' else role_ end r,
+             case h when 1 then '' when 2 then regexp_replace(text_, '[.!?]', '', 'g') else text_ end t
+      from dealt, unnest(range(case h when 0 then 0 when 3 then 2 else 1 end)) u(n)),
+s as (select *, row_number() over (partition by conv_id order by turn nulls first, r, t) i from d),
+o as (select *, row_number() over (partition by conv_id, r, t order by i) nth, lag(r) over (partition by conv_id order by i) before,
+             regexp_replace(t, '[\\x20\\x09-\\x0D]+$', '') ink from s),
+f as (select *, case when ink = '' then 'blank' when nth > 1 then 'duplicate' when right(ink, 1) not in ('.', '!', '?') then 'truncated' else '' end kind from o),
+w(e, k, v, pre) as (values ('n', 0, 'n', ''), ('n', 1, 'u', 'user:\n'), ('n', 2, 'a', 'user:\nassistant:\n'),
+    ('s', 0, 's', ''), ('s', 1, 'u', 'user:\n'), ('s', 2, 'a', 'user:\nassistant:\n'),
+    ('u', 0, 'u', ''), ('u', 1, 'a', 'assistant:\n'), ('u', 2, 'u', 'assistant:\nuser:\n'),
+    ('a', 0, 'a', ''), ('a', 1, 'u', 'user:\n'), ('a', 2, 'a', 'user:\nassistant:\n')),
+m as (select x, e, e q, 4 c, 'D' ops, '' pre, '' name from w, unnest(['s', 'u', 'a', '']) y(x) where k = 0
+      union all select x, e, case v when 'u' then 'a' else 'u' end, 3 * k + 3, repeat('I', k) || 'R', pre, case v when 'u' then 'assistant' else 'user' end
+      from w, unnest(['s', 'u', 'a', '']) y(x)
+      union all select x, e, x, 3 * k, repeat('I', k) || 'K', pre, null from w, unnest(['s', 'u', 'a']) y(x) where v || x in ('ns', 'nu', 'su', 'au', 'ua')),
+p as (select conv_id, 0::bigint i, 'n' q, {'c': 0::bigint, 'audit': '', 'body': ''} b from (select distinct conv_id from f)
+      union all
+      select p.conv_id, f.i, m.q, min({'c': p.b.c + m.c + case when f.kind = 'truncated' and m.ops <> 'D' then 3 else 0 end, 'audit': p.b.audit || m.ops,
+          'body': p.b.body || case when m.ops = 'D' then '' else m.pre || coalesce(m.name, f.r) || ':' || f.t || chr(10) end})
+      from p join f on p.conv_id is not distinct from f.conv_id and f.i = p.i + 1
+      join m on m.e = p.q and m.x = case when f.r[1] in ('s', 'u', 'a') then f.r[1] else '' end
+      where m.ops = 'D' or f.kind not in ('blank', 'duplicate') group by 1, 2, 3),
+n as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (kind = 'blank') blank,
+             count(*) filter (kind = 'duplicate') duplicate, count(*) filter (kind = 'truncated') truncated,
+             count(*) filter (before is not null and before[1] || r[1] not in ('su', 'ua', 'au')) illegal from f group by 1),
+best as (select p.conv_id, any_value(n.gaps) gaps, any_value(n.blank) blank, any_value(n.duplicate) duplicate, any_value(n.truncated) truncated, any_value(n.illegal) illegal,
+                min({'c': b.c + case q when 's' then 6 when 'u' then 3 else 0 end, 'audit': b.audit || case q when 's' then 'II' when 'u' then 'I' else '' end,
+                     'body': b.body || case q when 's' then 'user:\nassistant:\n' when 'u' then 'assistant:\n' else '' end}) b
+         from p join n on p.conv_id is not distinct from n.conv_id and p.i = n.n group by 1)
+select c.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+       coalesce(illegal, 0) illegal, coalesce(b.c, 0) "cost", coalesce(b.audit, '') audit, sha256(coalesce(b.body[:-2], '')) repaired_sha256
+from (select distinct conv_id from conversations) c left join best on c.conv_id is not distinct from best.conv_id""")
+def op11_repair(spark, sf_dir):
+    """Damaged conversations, their faults and the cheapest repair."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damaged(turns), turns)
