@@ -36,10 +36,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word: a longest run of bytes other than ASCII white space."""
-    ink = ~WHITE[flat]
-    bounds = offsets[(offsets > 0) & (offsets < len(flat))]
+    return runs(~WHITE[flat], offsets)
+
+
+def runs(ink: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every longest run of bytes that `ink` marks; runs end with their text."""
+    bounds = offsets[(offsets > 0) & (offsets < len(ink))]
     opens, closes = ink.copy(), ink.copy()
-    if len(flat):
+    if len(ink):
         opens[1:] &= ~ink[:-1]
         closes[:-1] &= ~ink[1:]
         opens[bounds] = ink[bounds]

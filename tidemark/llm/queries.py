@@ -4,7 +4,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat, contamination, html, langid, lm, minhash, quality, repair, suffixes, toxicity
+from tidemark.llm import bpe, chat, contamination, html, langid, lexical, lm, minhash, quality, repair, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -159,3 +159,20 @@ def op11_repair(spark, sf_dir):
     """Damaged conversations, their faults and the cheapest repair."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair.repair(repair.damaged(turns), turns)
+
+
+@query("""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') w from documents),
+b as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from benchmark),
+s as (select count(*) filter (len(w) > 0) n_docs, sum(len(w))::bigint n_terms from d),
+tf as (select r, doc_id, len(w)::bigint n, term, count(*) tf from (select r, doc_id, w, unnest(w) term from d) group by all),
+df as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint w from tf, s group by term, n_docs),
+hit as (select item_id, r, any_value(doc_id) doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::bigint score
+        from b join tf using (term) join df using (term), s group by item_id, r)
+select item_id, rank::int "rank", doc_id, score from (
+    select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) rank from hit where score > 0) where rank <= 10""")
+def op12_lexical(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
