@@ -4,7 +4,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat, contamination, html, langid, lexical, lm, minhash, quality, repair, suffixes, toxicity
+from tidemark.llm import bpe, chat, contamination, html, langid, lexical, lm, minhash, neighbours, quality, repair, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -176,3 +176,9 @@ select item_id, rank::int "rank", doc_id, score from (
 def op12_lexical(spark, sf_dir):
     """The ten best documents of every benchmark item."""
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_ann(spark, sf_dir):
+    """The 20 nearest vectors found for every vec_id that 20 divides."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
