@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.llm import blocks as tb
 from tidemark.llm.scratch import Scratch
 
 SAMPLE = 1 << 16         # vectors that the tree is fitted on, at most
-LEAF = 256               # entries of a leaf, about, up to MOST_LEAVES leaves
+LEAF = 512               # entries of a leaf, about, up to MOST_LEAVES leaves
 MOST_LEAVES = 1 << 13
 BRANCHES = 16
 ROUNDS = 8               # of Lloyd's algorithm at each node
 CALIBRATION = 128        # queries that set the number of leaves to visit
-RECALL = 0.97            # their share of exact neighbours in visited leaves
+RECALL = 0.95            # their share of exact neighbours in visited leaves
 LEAST_CHUNK, MOST_CHUNK = 512, 8_192     # a chunk is twice the mean leaf, within these
 AT_ONCE = 256            # queries compared with a chunk at a time
 
@@ -112,25 +113,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def compared(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places of its k best vectors and their scores, equal scores by id.
+def compared(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, place, score) of the k best vectors of each query, best first, equal scores by id; AT_ONCE queries at a time.
 
     A matrix product finds what may be among them, to within its rounding; the summed score decides.
     """
     slack = 1e-12 * np.sqrt((queries ** 2).sum(1)) * np.sqrt((vectors ** 2).sum(1).max()) * queries.shape[1]
     for low in range(0, len(queries), AT_ONCE):
         rough = queries[low:low + AT_ONCE] @ vectors.T
-        for row, line in enumerate(rough, low):
-            near = np.arange(len(line))
-            if len(line) > k:
-                near = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k] - slack[row])
-            scores = inner(vectors[near], queries[row])
-            keep = _best(scores, ids[near], k)
-            yield near[keep], scores[keep]
+        cut = max(0, rough.shape[1] - k)
+        least = np.partition(rough, cut, axis=1)[:, cut] - slack[low:low + AT_ONCE]
+        query, near = np.nonzero(rough >= least[:, None])
+        scores = inner(vectors[near], queries[low + query])
+        order = np.lexsort((ids[near], -scores, query))
+        counts, first = tb.counted(query, len(rough))
+        order = order[np.arange(len(order)) - first[query] < k]
+        yield low + query[order], near[order], scores[order]
 
 
 def _assigned(tree: Tree, schema: pa.Schema):
@@ -152,11 +150,14 @@ def _exact(queries: np.ndarray, keys: list[tuple[int, int]], k: int):
             vectors = _matrix(batch.column("embedding"))
             ids, leaf = batch.column("ids").flatten().to_numpy()[batch.column("ids").offsets.to_numpy()[:-1]], batch.column("leaf").to_numpy()
             own = np.stack([batch.column("h1").to_numpy(), batch.column("h2").to_numpy()], 1)
-            for q, (near, scores) in enumerate(compared(queries, vectors, ids, k + 1) if len(vectors) else ()):
-                other = (own[near] != keys[q]).any(1)
-                found = [np.r_[a, b] for a, b in zip(held[q], (scores[other], ids[near[other]], leaf[near[other]]))]
-                keep = _best(found[0], found[1], k)
-                held[q] = tuple(x[keep] for x in found)
+            for query, near, scores in compared(queries, vectors, ids, k + 1) if len(vectors) else ():
+                other = (own[near] != np.array(keys)[query]).any(1)
+                query, near, scores = query[other], near[other], scores[other]
+                for q in np.unique(query):
+                    mine = query == q
+                    found = [np.r_[a, b] for a, b in zip(held[q], (scores[mine], ids[near[mine]], leaf[near[mine]]))]
+                    keep = np.lexsort((found[1], -found[0]))[:k]
+                    held[q] = tuple(x[keep] for x in found)
         sizes = [len(h[0]) for h in held]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(keys)), sizes), pa.int32()), *(
             pa.array(np.concatenate([h[c] for h in held]), schema.field(c + 1).type) for c in range(3))], schema=schema)
@@ -185,8 +186,10 @@ def _met(k: int):
         ids = entries.column("ids").combine_chunks()
         least = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
         found = list(compared(_matrix(queries.column("embedding").combine_chunks()), _matrix(entries.column("embedding").combine_chunks()), least, k))
-        return pa.table([queries.column("h1"), queries.column("h2"), pa.array([s for _, s in found], schema.field("scores").type),
-                         pa.array([ids.take(pa.array(near)).to_pylist() for near, _ in found], schema.field("ids").type)], schema=schema)
+        query, near, scores = (np.concatenate(x) for x in zip(*found))
+        cuts = pa.array(tb.counted(query, queries.num_rows)[1], pa.int32())
+        return pa.table([queries.column("h1"), queries.column("h2"), pa.ListArray.from_arrays(cuts, pa.array(scores)),
+                         pa.ListArray.from_arrays(cuts, ids.take(pa.array(near)))], schema=schema)
 
     return run
 
