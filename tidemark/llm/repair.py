@@ -3,7 +3,7 @@
 The turns of a conversation are read in order; four states say what has been put out so far (nothing, a system turn,
 a user turn, an assistant turn). Every state keeps its cheapest edits so far, of equal ones the ASCII-least. The
 survivors are the leaves of a tree of backpointers: a node holds the edits between two forks and goes as soon as one
-reference to it is left; once all survivors share an ancestor, the edits above it are final and leave the tree. Equal
+reference to it is left, and so do survivors that another one beats whatever follows; once all share an ancestor, the edits above it are final and leave the tree. Equal
 costs are settled by the complete edits that are not final yet, up to the fork of the two.
 
 A conversation may be larger than a task. Turns are dealt out by ranges of their order; where a range border cuts a
@@ -27,6 +27,9 @@ KEPT = {"s": {NOTHING: SYSTEM}, "u": {NOTHING: USER, SYSTEM: USER, ASSISTANT: US
 CLOSING = {NOTHING: "", SYSTEM: "II", USER: "I", ASSISTANT: ""}    # what a conversation still lacks at its end
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 SOUND, CUT, GONE = range(3)                          # a turn as it should be, truncated, or to be deleted
+# What it costs at most to do from the row's state whatever may follow in the column's state: a missing turn is inserted,
+# a system turn deleted that only a beginning can keep. A survivor dearer than that by any other is hopeless.
+DETOUR = ((0, 0, 3, 0), (6, 0, 3, 6), (7, 3, 0, 3), (4, 0, 3, 0))
 PART_BYTES = 1 << 20                                 # repaired text goes out in parts of about this size
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -96,6 +99,8 @@ class Search:
                 held = best.get(to)
                 if held is None or cost + extra < held[0] or cost + extra == held[0] and _before(node, edits, held[1], held[2]):
                     best[to] = (cost + extra, node, edits)
+        costs = [(state, held[0]) for state, held in best.items()]
+        best = {to: held for to, held in best.items() if all(held[0] <= cost + DETOUR[state][to] for state, cost in costs)}
         heirs: dict[int, int] = {}
         for _, node, _ in best.values():
             heirs[id(node)] = heirs.get(id(node), 0) + 1
