@@ -49,7 +49,7 @@ def op5_contamination(spark, sf_dir):
 @query("""
 with t as (select conv_id, turn, coalesce(role, '') role_, coalesce(text, '') text_ from conversations
            union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-s as (select *, length(text_) + len(regexp_extract_all(text_, '<\\\\*\\|')) + length(role_) + 25 n_formatted from t)
+s as (select *, length(text_) + len(regexp_extract_all(text_, '<\\\\*\\|')) + length(role_) + 24 n_formatted from t)
 select conv_id, count(*) n_turns, sha256(string_agg(role_ || chr(10) || text_ || chr(10), '' order by turn, role_, text_)) turns_sha256,
        cast(coalesce(sum(length(text_)) filter (role_ = 'assistant'), 0) as bigint) loss_chars,
        sha256(coalesce(string_agg(text_, '' order by turn, role_, text_) filter (role_ = 'assistant'), '')) loss_sha256,

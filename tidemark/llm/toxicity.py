@@ -29,10 +29,13 @@ ADDRESS = frozenset("you your you're youre u ur yourself".split())
 TRAIN_TEXTS = 6_000
 LEXICON_SIZE = 400
 PREFIX = 3
-MAX_WORD = 60
+MAX_WORD = 60                  # letters an automaton holds; longer pieces are walked in windows
+OVERLAP = 32                   # letters that windows share: the longest term of the lexicon and its edits
+EVIDENCE = 30.0                # least log-likelihood ratio of a term that enters the lexicon
 CONTEXT = 8
 FUZZY_WEIGHT, QUOTED_WEIGHT, REPORT_WEIGHT = 0.8, 0.1, 0.5
 _STRIP = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+_PIECES = regex.compile(r"[\p{L}\p{N}]+")
 _WORDS = tb.SpanHash(51)
 
 
@@ -41,6 +44,17 @@ def bare(word: str) -> str:
     return _STRIP.sub("", word.lower())
 
 
+def pieces(word: str) -> list[str]:
+    """Runs of letters and digits inside a bare word, if it is not one itself: what marks glue together."""
+    found = _PIECES.findall(word)
+    return found if len(found) > 1 else []
+
+
+def windows(piece: str) -> list[str]:
+    """A piece longer than the automaton as overlapping stretches."""
+    return [piece[a:a + MAX_WORD] for a in range(0, max(1, len(piece) - OVERLAP), MAX_WORD - OVERLAP)]
+
+
 def allowed_edits(term: str) -> int:
     return 0 if term.endswith("*") or len(term) < 4 else 1 if len(term) < 8 else 2
 
@@ -65,8 +79,11 @@ class Trie:
         for node in reversed(range(len(self.children))):       # a child has a greater number than its parent
             self.edits[node] = max([*(allowed_edits(terms[t]) for t in self.ends[node]), *(self.edits[c] for c in self.children[node].values()), 0])
 
-    def match(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Term of each word (-1: none) and its edits: the nearest term, then the longest, then the first."""
+    def match(self, words: list[str], anywhere: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Term of each word (-1: none) and its edits: the nearest term, then the longest, then the first.
+
+        anywhere: a term may begin and end anywhere in the word; it must then stand there without an edit.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         best = np.full(len(words), np.iinfo(np.int64).max)
         fits = np.flatnonzero((sizes > 0) & (sizes <= MAX_WORD))
@@ -84,14 +101,16 @@ class Trie:
             return letters[c]
 
         one = np.uint64(1)
-        start = [np.full(len(fits), (1 << (k + 1)) - 1, np.uint64) for k in range(self.edits[0] + 1)]
+        start = [np.full(len(fits), (1 << (MAX_WORD if anywhere else k + 1)) - 1, np.uint64) for k in range(1 if anywhere else self.edits[0] + 1)]
         stack = [(0, fits, start)]
         while stack:
             node, alive, rows = stack.pop()
             for number in self.ends[node]:
                 term = self.terms[number]
-                for k in range(allowed_edits(term) + 1):
-                    if term.endswith("*"):
+                for k in range(1 if anywhere else allowed_edits(term) + 1):
+                    if anywhere and len(term.rstrip("*")) < 4:
+                        continue
+                    if term.endswith("*") or anywhere:
                         hit = rows[0] > 0
                     else:
                         hit = (rows[k] >> sizes[alive].astype(np.uint64)) & one > 0
@@ -100,7 +119,7 @@ class Trie:
             for c, child in self.children[node].items():
                 here = masks(c)[alive]
                 after = []
-                for k in range(self.edits[child] + 1):
+                for k in range(1 if anywhere else self.edits[child] + 1):
                     state = (rows[k] & here) << one
                     if k:
                         state = state | rows[k - 1] | (rows[k - 1] << one) | (after[k - 1] << one)
@@ -137,34 +156,54 @@ class Matcher:
 
     def __init__(self, terms: tuple[str, ...]):
         self.trie = Trie(list(terms))
-        self.known, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.first, self.counts, self.codes = (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64))
 
-    def codes_of(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """term * 4 + edits of every word, -1 for none."""
+    def codes_of(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, term * 4 + edits) of every hit: one of the whole word, or those of the pieces that it glues together."""
         hashes = _WORDS.spans(_WORDS.prefixes(flat), starts, ends)
         unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.KEPT:
-            self.known, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self._forget()
         at = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
         new = np.flatnonzero(self.known[at] != unique) if len(self.known) else np.arange(len(unique))
         if len(new):
             data = flat.tobytes()
-            words = [bare(data[a:b].decode()) for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
-            term, edits = self.trie.match(words)
-            self.known = np.concatenate([self.known, unique[new]])
-            self.codes = np.concatenate([self.codes, np.where(term >= 0, term * 4 + edits, -1)])
+            found = self._matched([bare(data[a:b].decode(errors="replace")) for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+            sizes = np.array([len(f) for f in found], np.int64)
+            first = len(self.codes) + np.cumsum(sizes) - sizes
+            self.codes = np.concatenate([self.codes, np.array([c for f in found for c in f], np.int64)])
+            self.known, self.first, self.counts = (np.concatenate(x) for x in ((self.known, unique[new]), (self.first, first), (self.counts, sizes)))
             order = np.argsort(self.known)
-            self.known, self.codes = self.known[order], self.codes[order]
+            self.known, self.first, self.counts = self.known[order], self.first[order], self.counts[order]
             at = np.searchsorted(self.known, unique)
-        return self.codes[at][back]
+        sizes = self.counts[at][back]
+        begin = np.repeat(self.first[at][back] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.repeat(np.arange(len(starts)), sizes), self.codes[begin]
+
+    def _matched(self, words: list[str]) -> list[list[int]]:
+        """Codes of the hits in every word; a whole word that is a hit counts once."""
+        term, edits = self.trie.match(words)
+        found = [[t * 4 + e] if t >= 0 else [] for t, e in zip(term.tolist(), edits.tolist())]
+        parts = [(k, p) for k, w in enumerate(words) if not found[k] and w for p in (pieces(w) or ([w] if len(w) > MAX_WORD else []))]
+        short = [(k, p) for k, p in parts if len(p) <= MAX_WORD]
+        long = [(k, w) for k, p in parts if len(p) > MAX_WORD for w in windows(p)]
+        for owners, inside in ((short, False), (long, True)):
+            if owners:
+                term, edits = self.trie.match([p for _, p in owners], inside)
+                for (k, _), t, e in zip(owners, term.tolist(), edits.tolist()):
+                    if t >= 0 and (not inside or t * 4 + e not in found[k]):
+                        found[k].append(t * 4 + e)
+        return found
 
     def hits(self, column: pa.Array) -> tuple[np.ndarray, ...]:
         """Row, term, edits and context weight of every hit, and the number of words of every row."""
         flat, offsets = tb.utf8(column)
         starts, ends, rows = tb.word_spans(flat, offsets)
         n_words = np.bincount(rows, minlength=len(column))
-        codes = self.codes_of(flat, starts, ends) if len(starts) else np.zeros(0, np.int64)
-        at = np.flatnonzero(codes >= 0)
+        at, codes = self.codes_of(flat, starts, ends) if len(starts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         # A place is quoted if its line has an odd number of straight marks before it, or more opened than closed.
         straight = np.concatenate([[0], np.cumsum(flat == 0x22)])
         curly = flat == 0x9C
@@ -186,7 +225,7 @@ class Matcher:
                 near = {bare(w.decode()) for w in data[starts[a]:ends[b - 1]].split()}
                 if near & REPORT and not near & ADDRESS:
                     weight[k] = REPORT_WEIGHT
-        return rows[at], codes[at] // 4, codes[at] % 4, weight, n_words
+        return rows[at], codes // 4, codes % 4, weight, n_words
 
 
 def features(model: Model, column: pa.Array) -> np.ndarray:
@@ -208,10 +247,10 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(block.column("text").to_pylist(), block.column("toxic").to_pylist()):
             counts: Counter = Counter()
             for word, n in Counter(bare(w) for w in (text or "").split()).items():
-                if word and len(word) <= MAX_WORD:
-                    counts[word] += n
-                    for k in range(PREFIX, len(word)):
-                        counts[word[:k] + "*"] += n
+                for part in [w for p in [word, *pieces(word)] for w in windows(p)] if word else ():
+                    counts[part] += n
+                    for k in range(PREFIX, min(len(part), OVERLAP)):
+                        counts[part[:k] + "*"] += n
             for term, n in counts.items():
                 line = seen.setdefault(term, [0, 0, 0, 0])
                 line[toxic] += 1
@@ -248,8 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
     lift = ((F.col("toxic_count") + 0.5) / (n_toxic + 1)) / ((F.col("other_count") + 0.5) / (n_other + 1))
-    enough = F.col("toxic_texts") >= max(4, n_toxic // 100)
-    rows = stats.where(enough & (lift >= 8)).withColumn("lift", lift) \
+    # Few texts are enough where the words in them are many more than chance gives.
+    ratio = 2 * F.col("toxic_count") * (F.log(lift) - 1 + 1 / lift)
+    enough = (F.col("toxic_texts") >= max(2, n_toxic // 100)) & (ratio >= EVIDENCE)
+    rows = stats.where(enough & (lift >= 8) & (F.length("term") <= OVERLAP - 2)).withColumn("lift", lift) \
         .orderBy(F.desc(F.col("toxic_texts") * F.log("lift")), "term").limit(20 * LEXICON_SIZE).collect() if n_toxic and n_other else []
     chosen: dict[str, float] = {t: 0.0 for t in SEED_TERMS}
     found = {r["term"]: r for r in rows}
