@@ -179,9 +179,9 @@ def test_network_gradients_and_total_probability():
             after = gru.step(v, table, ids[t], h)[0]
             h = np.where(live[t][:, None], after, h)
             for k in np.flatnonzero(live[t]):
-                total -= gru._log_softmax(h[k:k + 1] @ v["wc"] + v["bc"])[0, classes[t, k]]
+                total -= np.log(gru._softmax(h[k:k + 1] @ v["wc"] + v["bc"]))[0, classes[t, k]]
                 if inside[t, k] >= 0:
-                    total -= gru._log_softmax(h[k:k + 1] @ v["wu"][classes[t, k]] + v["bu"][classes[t, k]])[0, inside[t, k]]
+                    total -= np.log(gru._softmax(h[k:k + 1] @ v["wu"][classes[t, k]] + v["bu"][classes[t, k]]))[0, inside[t, k]]
         return total / live.sum()
 
     for k in rng.choice(len(flat), 60, replace=False):
@@ -191,28 +191,24 @@ def test_network_gradients_and_total_probability():
         assert grad[k] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6)
 
 
-def test_model_probabilities_sum_to_one(spark):
-    """Over all words of a small vocabulary, the unknown word and the end, a one-word text's first token sums to 1."""
-    from tidemark.llm import lm
-
-    words = [f"w{k}" for k in range(30)]
-    training = spark.createDataFrame([(i, " ".join(words[:1 + i])) for i in range(30)], "doc_id bigint, text string")
-    probes = spark.createDataFrame([(100 + k, w) for k, w in enumerate([*words, "unseen"])] + [(999, "")], "doc_id bigint, text string")
-    scores = {r["doc_id"]: r for r in lm.score(probes, training).collect()}
-    # Texts of one word end after it, so bring the end's probability out by the model itself.
-    from tidemark.llm.scratch import Scratch
-    from tidemark.llm import gru
+@pytest.mark.parametrize("size", [0, 1, 30, 1000])
+def test_model_probabilities_sum_to_one(spark, size):
+    """Over all words of a vocabulary, the unknown word and the end, the first token of a text sums to 1."""
     import pyarrow as pa
+    from tidemark.llm import gru, lm
+    from tidemark.llm.scratch import Scratch
 
-    model, _ = lm.fit(training, Scratch(spark))
-    total = 10 ** scores[999]["score"]
-    for k, w in enumerate([*words, "unseen"]):
-        hashes, rows = lm.tokens(pa.array([w]))
-        _, inputs, classes, inside = model.words.symbols(hashes)
-        both = gru.log_likelihood(model.words.layout, model.weights, inputs, classes, inside, np.array([2]))[0]
-        first = gru.log_likelihood(model.words.layout, model.weights, inputs[:1], classes[:1], inside[:1], np.array([1]))[0]
-        total += 10 ** (scores[100 + k]["score"] - (both - first) / np.log(10))
-    assert total == pytest.approx(1, abs=1e-4)
+    words = [f"w{k}" for k in range(size)]
+    texts = [(i, " ".join(words[:-(-(i + 1) * size // 30)])) for i in range(30)] if size else []
+    model, _ = lm.fit(spark.createDataFrame(texts, "doc_id bigint, text string"), Scratch(spark))
+    hashes = np.r_[lm.tokens(pa.array(["unseen " + " ".join(words)]))[0]]
+    at, inputs, classes, inside = model.words.symbols(hashes)
+    own = gru.log_likelihood(model.words.layout, model.weights, inputs, classes, inside, np.ones(len(hashes), np.int64))
+    # Inside a class without places the counts decide; the unknown word has a count of a half.
+    count = np.where(at >= 0, model.words.counts[at] if size else 0, 0) + 0.5
+    plain = (inside < 0) & (hashes != lm.END)
+    own[plain] += np.log(count[plain] / model.words.masses[classes[plain]])
+    assert np.exp(own).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_language(docs, answer):
@@ -228,8 +224,22 @@ def test_toxicity(answer):
     found = by_id(answer("op2_toxicity"))
     labels = duckdb.sql(f"select doc_id, toxic from '{SF}/labels.parquet'").fetchall()
     assert {i for i in found if found[i]["held_out"]} == {i for i in found if zlib.crc32(str(i).encode()) % 5 == 0}
-    assert np.mean([found[i]["predicted"] == t for i, t in labels if not found[i]["held_out"]]) > 0.95
-    assert np.mean([found[i]["predicted"] == t for i, t in labels if found[i]["held_out"]]) > 0.8
+    for held, least in ((False, 0.9), (True, 0.7)):
+        own = [(found[i]["predicted"], t) for i, t in labels if found[i]["held_out"] == held]
+        caught, toxic, called = sum(p and t for p, t in own), sum(t for _, t in own), sum(p for p, _ in own)
+        assert caught >= least * toxic and caught >= least * called, (held, caught, toxic, called)
+
+
+def test_glued_and_long_runs(spark):
+    """Marks that glue words together and runs longer than the automaton hide no term; a calm run has no hit."""
+    from tidemark.llm import toxicity
+
+    terms = ("idiot", "moron", "rée*")
+    model = toxicity.Model(terms, (True, True, False), (*[3.0] * (2 * len(terms) + 2), -2.0))
+    texts = ["you idiot moron", "you are a idiot/moron", "you-idiot-moron-" + "x" * 80, "z" * 100 + "idiot" + "y" * 100, "a" * 59 + "moron",
+             "calm " * 5, "z" * 500, "calm-and/quiet", "x-réeux_y", "idi0t...mor0n", "a" * 27 + "idiot" + "b" * 80]
+    found = [r["predicted"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()]
+    assert found == [1, 1, 1, 1, 1, 0, 0, 0, 1, 1, 1]
 
 
 def edits(a, b):

@@ -3,9 +3,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-EMBEDDING, HIDDEN = 16, 32
+EMBEDDING, HIDDEN = 12, 16
 WINDOW = 24                  # steps that gradients go back
-STREAMS = 64                 # documents that learn side by side
+STREAMS = 384                # documents that learn side by side
+SEGMENT = 1_024              # tokens of a document that learn one after another; a longer one goes in several streams
 RATE, CLIP = 0.01, 1.0
 OPENING = 1                  # the input symbol before a document's first token: the end mark
 
@@ -36,7 +37,10 @@ class Layout:
         return out
 
     def initial(self, class_mass: np.ndarray, head_mass: np.ndarray) -> np.ndarray:
-        """Weights that score like the counts: random inside, biases at the logarithms of the masses."""
+        """Weights that score like the counts: random inside, biases at the logarithms of the masses.
+
+        Classes and places without mass have a bias of minus infinity, so they never get a share, nor a gradient.
+        """
         rng = np.random.default_rng(71)
         size = sum(int(np.prod(s)) for s in self.shapes().values())
         flat = np.zeros(size, np.float32)
@@ -45,8 +49,9 @@ class Layout:
         w["wx"][:] = rng.normal(0, EMBEDDING ** -0.5, w["wx"].shape)
         w["wh"][:] = rng.normal(0, 0.5 * HIDDEN ** -0.5, w["wh"].shape)
         w["wc"][:] = rng.normal(0, 0.02, w["wc"].shape)
-        w["bc"][:] = np.log(class_mass)
-        w["bu"][:len(head_mass)] = np.where(head_mass > 0, np.log(np.maximum(head_mass, 1e-9)), -30)
+        with np.errstate(divide="ignore"):
+            w["bc"][:] = np.log(class_mass)
+            w["bu"][:len(head_mass)] = np.log(head_mass)
         return flat
 
 
@@ -64,9 +69,26 @@ def step(w: dict, table: np.ndarray, ids: np.ndarray, h: np.ndarray):
     return (1 - z) * n + z * h, r, z, n, inner
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place; a row of scores becomes its probabilities."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_shares(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of one place in each row of scores; overwrites them."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), target]
+    return own - np.log(np.exp(x, out=x).sum(1))
+
+
+def _by_head(classes: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
+    """Places of the tokens of every head class that occurs."""
+    heads = np.flatnonzero(inside >= 0)
+    heads = heads[np.argsort(classes[heads], kind="stable")]
+    return np.split(heads, np.flatnonzero(np.diff(classes[heads])) + 1) if len(heads) else []
 
 
 def log_likelihood(layout: Layout, flat: np.ndarray, inputs: np.ndarray, classes: np.ndarray, inside: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -98,18 +120,15 @@ def log_likelihood(layout: Layout, flat: np.ndarray, inputs: np.ndarray, classes
             places.append(at)
         hidden, row, place = np.concatenate(states), np.concatenate(rows), np.concatenate(places)
         found = np.empty(len(row))
-        for a in range(0, len(row), 16_384):
-            part = slice(a, a + 16_384)
-            scores = _log_softmax(hidden[part] @ w["wc"] + w["bc"])
-            found[part] = scores[np.arange(len(scores)), classes[place[part]]]
-        heads = np.flatnonzero(inside[place] >= 0)
-        heads = heads[np.argsort(classes[place[heads]], kind="stable")]
-        cuts = np.flatnonzero(np.r_[True, np.diff(classes[place[heads]]) != 0, True]) if len(heads) else np.zeros(1, int)
-        for a, b in zip(cuts, cuts[1:]):
-            mine = heads[a:b]
-            k = classes[place[mine[0]]]
-            scores = _log_softmax(hidden[mine] @ w["wu"][k] + w["bu"][k])
-            found[mine] += scores[np.arange(b - a), inside[place[mine]]]
+        for a in range(0, len(row), 4_096):
+            part = slice(a, a + 4_096)
+            scores = hidden[part] @ w["wc"]
+            scores += w["bc"]
+            found[part] = _log_shares(scores, classes[place[part]])
+        own, where = classes[place], inside[place]
+        for mine in _by_head(own, where):
+            k = own[mine[0]]
+            found[mine] += _log_shares(hidden[mine] @ w["wu"][k] + w["bu"][k], where[mine])
         total[:len(states[0])] += np.bincount(row, weights=found, minlength=len(states[0]))
     out = np.empty(len(sizes))
     out[order] = total
@@ -131,14 +150,21 @@ def gradients(w: dict, ids: np.ndarray, classes: np.ndarray, inside: np.ndarray,
     mask, target, place = live.ravel(), classes.ravel(), inside.ravel()
     count = max(1, mask.sum())
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    p = np.exp(_log_softmax(hidden @ w["wc"] + w["bc"]))
-    p[np.arange(len(p)), target] -= 1
-    p *= mask[:, None] / count
-    g["wc"], g["bc"] = hidden.T @ p, p.sum(0)
-    back = p @ w["wc"].T
-    for k in np.unique(target[mask & (place >= 0)]):
-        mine = np.flatnonzero(mask & (target == k) & (place >= 0))
-        q = np.exp(_log_softmax(hidden[mine] @ w["wu"][k] + w["bu"][k]))
+    back = np.empty_like(hidden)
+    scale = (mask / count).astype(hidden.dtype)
+    for a in range(0, len(hidden), 2_048):
+        part = slice(a, a + 2_048)
+        p = hidden[part] @ w["wc"]
+        p += w["bc"]
+        p = _softmax(p)
+        p[np.arange(len(p)), target[part]] -= 1
+        p *= scale[part, None]
+        g["wc"] += hidden[part].T @ p
+        g["bc"] += p.sum(0)
+        back[part] = p @ w["wc"].T
+    for mine in _by_head(target, np.where(mask, place, -1)):
+        k = target[mine[0]]
+        q = _softmax(hidden[mine] @ w["wu"][k] + w["bu"][k])
         q[np.arange(len(q)), place[mine]] -= 1
         q /= count
         g["wu"][k], g["bu"][k] = hidden[mine].T @ q, q.sum(0)
@@ -180,24 +206,30 @@ def gradients(w: dict, ids: np.ndarray, classes: np.ndarray, inside: np.ndarray,
 def learn(layout: Layout, flat: np.ndarray, documents: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Weights after one pass over whole documents (inputs, classes, inside) by Adam, from given weights.
 
-    STREAMS documents of like length go side by side; each window starts from the state the one before left behind.
+    STREAMS segments of like length go side by side; each window starts from the state the one before left behind, and
+    segments leave as they end. A document's further segments begin with the token before them.
     """
     flat = flat.copy()
     w = layout.unpack(flat)
     first, second, rounds = np.zeros_like(flat), np.zeros_like(flat), 0
-    groups = sorted(documents, key=lambda d: len(d[0]))
-    groups = [groups[a:a + STREAMS] for a in range(0, len(groups), STREAMS)]
+    parts = []
+    for i, c, p in documents:
+        fed = np.concatenate([[OPENING], i[:-1]])
+        parts += [(fed[a:a + SEGMENT], c[a:a + SEGMENT], p[a:a + SEGMENT]) for a in range(0, len(c), SEGMENT)]
+    parts.sort(key=lambda d: -len(d[0]))
+    groups = [parts[a:a + STREAMS] for a in range(0, len(parts), STREAMS)]
     for number in np.random.default_rng(72).permutation(len(groups)):
         group = groups[number]
-        longest, n = max(len(d[0]) for d in group), len(group)
-        ids, classes = np.full((longest, n), OPENING), np.zeros((longest, n), np.int64)
-        inside, live = np.full((longest, n), -1, np.int64), np.zeros((longest, n), bool)
+        sizes = np.array([len(d[0]) for d in group])
+        ids, classes, inside = (np.zeros((sizes[0], len(group)), np.int64) for _ in range(3))
         for k, (i, c, p) in enumerate(group):
-            ids[1:len(i), k], classes[:len(i), k], inside[:len(i), k], live[:len(i), k] = i[:-1], c, p, True
-        h = np.zeros((n, HIDDEN), np.float32)
-        for t in range(0, longest, WINDOW):
-            part = slice(t, t + WINDOW)
-            g, h = gradients(w, ids[part], classes[part], inside[part], live[part], h)
+            ids[:len(i), k], classes[:len(i), k], inside[:len(i), k] = i, c, p
+        h = np.zeros((len(group), HIDDEN), np.float32)
+        for t in range(0, int(sizes[0]), WINDOW):
+            n = int(np.searchsorted(-sizes, -t, "left"))
+            part = slice(t, t + WINDOW), slice(0, n)
+            live = np.arange(t, t + len(ids[part]))[:, None] < sizes[:n]
+            g, h = gradients(w, ids[part], classes[part], inside[part], live, h[:n])
             grad = np.concatenate([g[k].ravel() for k in layout.shapes()]).astype(np.float32)
             grad *= min(1.0, CLIP / max(1e-9, float(np.sqrt((grad * grad).sum()))))
             rounds += 1

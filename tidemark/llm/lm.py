@@ -24,12 +24,12 @@ from tidemark.llm.folds import remainder
 from tidemark.llm.scratch import Scratch
 
 TABLE = 1 << 18                 # words whose counts every task holds (16 bytes each)
-HEADS, HEAD_SIZE = 24, 32       # head classes and their words
+HEAD_SIZE = 32                  # words of a head class; there are more such classes the more words there are
 CLUSTERS, BANDS = 6, 12
-CLUSTER_TEXTS = 1_500           # texts that set the kinds of documents (expected)
+NEAR = 16                       # centres by which a task, or a group of tasks, reports its documents
 SHARD_TEXTS = 2_400             # documents that learn one after another (expected)
 ROUNDS = 2                      # parts of the training documents between which the shards' weights are averaged
-BATCH_BYTES = 6 << 20           # texts that the network scores side by side
+BATCH_BYTES = 16 << 20          # texts that the network scores side by side
 BLOCK_BYTES = tb.BLOCK_BYTES
 _WORDS = tb.SpanHash(81, tb.LOWER)
 END = np.uint64(0x656E64)       # the end mark; a word's 64-bit hash equals it with a chance of 5e-20
@@ -55,19 +55,54 @@ def pair_shares(column: pa.Array) -> np.ndarray:
     return np.sqrt(found / np.maximum(found.sum(1, keepdims=True), 1))
 
 
-def centres(lines: np.ndarray) -> np.ndarray:
-    """CLUSTERS centres by k-means from farthest-first starts; fewer for fewer lines."""
-    if not len(lines):
-        return np.zeros((1, 256))
-    found = [lines.mean(0)]
-    for _ in range(CLUSTERS - 1):
-        far = np.min([((lines - c) ** 2).sum(1) for c in found], axis=0)
-        found.append(lines[np.argmax(far)])
+def centres(lines: np.ndarray, mass: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """k centres of weighted lines (fewer for fewer lines) and their masses: k-means from farthest-first starts."""
+    if len(lines) <= k:
+        return lines, mass
+    found = [np.average(lines, axis=0, weights=mass)]
+    away = np.full(len(lines), np.inf)
+    for _ in range(k):
+        away = np.minimum(away, ((lines - found[-1]) ** 2).sum(1))
+        found.append(lines[np.argmax(away)])
     found = np.array(found[1:])
-    for _ in range(20):
-        near = np.argmin(((lines[:, None] - found) ** 2).sum(2), 1)
-        found = np.array([lines[near == k].mean(0) if (near == k).any() else found[k] for k in range(len(found))])
-    return found
+    for _ in range(6):
+        share = (nearest(lines, found)[:, None] == np.arange(k)) * mass[:, None]
+        sums, weight = share.T @ lines, share.sum(0)
+        found = np.where(weight[:, None] > 0, sums / np.maximum(weight, 1e-300)[:, None], found)
+    return found[weight > 0], weight[weight > 0]
+
+
+def nearest(lines: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return np.argmin((found * found).sum(1) - 2 * lines @ found.T, 1)
+
+
+def kinds_of(docs: DataFrame) -> np.ndarray:
+    """Centres of CLUSTERS kinds of documents, from every document.
+
+    A task folds its documents, block by block, into NEAR weighted centres; groups of tasks fold theirs again, and what
+    is left, NEAR lines for each of at most NEAR groups, makes the kinds.
+    """
+    schema = "line array<float>, mass double"
+
+    def folded(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        lines, mass = np.zeros((0, 256)), np.zeros(0)
+        for more, weight in blocks:
+            lines, mass = centres(np.vstack([lines, more]), np.r_[mass, weight], NEAR)
+        if len(lines):
+            yield pa.RecordBatch.from_arrays([pa.array(list(lines.astype(np.float32)), pa.list_(pa.float32())), pa.array(mass)], names=["line", "mass"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return folded((pair_shares(b.column("text")), np.ones(b.num_rows)) for b in tb.blocks(batches, "text", BLOCK_BYTES))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return folded((b.column("line").flatten().to_numpy().reshape(-1, 256).astype(float), b.column("mass").to_numpy()) for b in batches if b.num_rows)
+
+    first = docs.select("text").mapInArrow(own, schema)
+    last = first.repartition(NEAR).mapInArrow(again, schema).toArrow()
+    lines = np.array(last["line"].to_pylist(), float).reshape(-1, 256)
+    order = np.lexsort(lines.T)
+    found = centres(lines[order], last["mass"].to_numpy()[order], CLUSTERS)[0]
+    return found if len(found) else np.zeros((1, 256))
 
 
 @dataclass(frozen=True)
@@ -86,7 +121,8 @@ class Vocabulary:
 
     @property
     def layout(self) -> gru.Layout:
-        return gru.Layout(len(self.masses) + HEADS * HEAD_SIZE, len(self.masses), HEADS + 2, HEAD_SIZE)
+        heads = len(self.head_masses) - 2
+        return gru.Layout(len(self.masses) + heads * HEAD_SIZE, len(self.masses), heads + 2, HEAD_SIZE)
 
     @property
     def denominator(self) -> float:
@@ -106,7 +142,7 @@ class Vocabulary:
         classes = np.where(at >= 0, self.classes[at] if len(self.hashes) else RARE, RARE)
         inputs = np.where(at >= 0, self.inputs[at] if len(self.hashes) else RARE, RARE)
         inside = np.where(at >= 0, self.inside[at] if len(self.hashes) else -1, -1)
-        return at, np.where(end, STOP, inputs), np.where(end, STOP, classes), np.where(end, -1, inside)
+        return tuple(x.astype(np.int32) for x in (at, np.where(end, STOP, inputs), np.where(end, STOP, classes), np.where(end, -1, inside)))
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
@@ -124,21 +160,22 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     h = h.astype(np.int64).view(np.uint64)
     words = h != END
     h, c, kind = h[words], c[words], kind[words]
-    n_heads = HEADS * HEAD_SIZE
+    heads = max(4, round(distinct ** 0.25 / 2))
+    n_heads = heads * HEAD_SIZE
     band = np.minimum(np.log2(np.maximum(c, 1)).astype(int), BANDS - 1)
-    classes = 2 + HEADS + kind * BANDS + band
-    inputs, inside = HEADS * HEAD_SIZE + classes, np.full(len(h), -1)
+    classes = 2 + heads + kind * BANDS + band
+    inputs, inside = n_heads + classes, np.full(len(h), -1)
     # Head words of one kind share classes as far as they fill them.
     head = np.arange(min(len(h), n_heads))
     head = head[np.argsort(kind[head], kind="stable")]
     classes[head], inside[head], inputs[head] = 2 + np.arange(len(head)) // HEAD_SIZE, np.arange(len(head)) % HEAD_SIZE, 2 + np.arange(len(head))
-    n_classes = 2 + HEADS + CLUSTERS * BANDS
-    masses = np.bincount(classes, weights=c + 0.5, minlength=n_classes)
+    n_classes = 2 + heads + CLUSTERS * BANDS
+    masses = np.bincount(classes, weights=c + 0.5, minlength=n_classes).astype(float)
     ends = total - int(c.sum()) - sum(int(r["c"]) for r in levels if r["level"] < least)
     rare = [r for r in levels if r["level"] < least]
     masses[RARE] = sum(r["c"] + 0.5 * r["n"] for r in rare) + 0.5
     masses[STOP] = max(0, ends) + 0.5
-    head_masses = np.zeros((HEADS + 2, HEAD_SIZE))
+    head_masses = np.zeros((heads + 2, HEAD_SIZE))
     head_masses[classes[head], inside[head]] = c[head] + 0.5
     order = np.argsort(h)
     return Vocabulary(h[order], c[order], classes[order], inputs[order], inside[order], masses, head_masses, int(total), int(distinct))
@@ -154,7 +191,10 @@ def _learn(words: Vocabulary, weights: np.ndarray):
 
         for block in tb.blocks(batches, "text", BLOCK_BYTES):
             hashes, rows = tokens(block.column("text"))
-            inputs, classes, inside = (x.astype(np.int32) for x in words.symbols(hashes)[1:])
+            at, inputs, classes, inside = words.symbols(hashes)
+            # Half of the words that occur once stand for the words that do not: so the network learns when those come.
+            once = (at >= 0) & (hashes & np.uint64(1) == 0) & (words.counts[at] == 1) if len(words.counts) else np.zeros(len(at), bool)
+            inputs[once], classes[once], inside[once] = RARE, RARE, -1
             cuts = tb.counted(rows, block.num_rows)[1]
             for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
                 documents.append((inputs[a:b], classes[a:b], inside[a:b]))
@@ -174,21 +214,13 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     """The model of (doc_id, text) and the counts (h, c) of all its tokens. A null text is a document with an end only."""
     docs = docs.select("doc_id", "text")
     n_docs = docs.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 24)) / float(1 << 24)
-
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tb.blocks(batches, "text", BLOCK_BYTES):
-            yield pa.RecordBatch.from_arrays([block.column("turn"), pa.array(list(pair_shares(block.column("text"))), pa.list_(pa.float64()))], names=["turn", "line"])
-
-    picked = docs.where(part < min(1.0, CLUSTER_TEXTS / max(1, n_docs))).select(F.xxhash64("doc_id", "text").alias("turn"), "text")
-    lines = picked.mapInArrow(shares, "turn bigint, line array<double>").toArrow().sort_by("turn")
-    kinds = centres(np.array(lines["line"].to_pylist()).reshape(-1, 256))
+    kinds = kinds_of(docs)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "text", BLOCK_BYTES):
             hashes, rows = tokens(block.column("text"))
             shares_ = pair_shares(block.column("text"))
-            near = np.argmin((kinds * kinds).sum(1) - 2 * shares_ @ kinds.T, 1)[rows]
+            near = nearest(shares_, kinds)[rows]
             order = np.lexsort((near, hashes))
             hashes, near = hashes[order], near[order]
             first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (near[1:] != near[:-1])])
@@ -198,7 +230,7 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     by_kind = docs.select("text").mapInArrow(counts, "h bigint, kind bigint, c bigint").groupBy("h", "kind").agg(F.sum("c").alias("c"))
     counted = scratch.keep("counts", by_kind.groupBy("h").agg(F.sum("c").alias("c"), F.max(F.struct("c", "kind")).alias("m")).select("h", "c", F.col("m.kind").alias("kind")))
     words = vocabulary(counted)
-    weights = words.layout.initial(words.masses + 1, words.head_masses)
+    weights = words.layout.initial(words.masses, words.head_masses)
     # A shard is a fixed number of documents, so a larger corpus has more shards of the same work.
     shards = max(1, round(n_docs / ROUNDS / SHARD_TEXTS))
     turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(4)), F.lit(ROUNDS))
@@ -220,8 +252,8 @@ def _score(model: Model):
         found = [tokens(t) for t in texts]
         n = [len(t) for t in texts]
         hashes = np.concatenate([h for h, _ in found])
-        rows = np.concatenate([r + sum(n[:k]) for k, (_, r) in enumerate(found)])
-        at, inputs, classes, inside = words.symbols(hashes)
+        rows = np.concatenate([(r + sum(n[:k])).astype(np.int32) for k, (_, r) in enumerate(found)])
+        at, inputs, classes, inside = (np.concatenate(x) for x in zip(*(words.symbols(h) for h, _ in found)))
         sizes = np.bincount(rows, minlength=sum(n))
         score = gru.log_likelihood(words.layout, model.weights, inputs, classes, inside, sizes) / np.log(10)
         end = hashes == END

@@ -27,6 +27,7 @@ ROUNDS = 8               # of Lloyd's algorithm at each node
 CALIBRATION = 128        # queries that set the number of leaves to visit
 RECALL = 0.95            # their share of exact neighbours in visited leaves
 LEAST_CHUNK, MOST_CHUNK = 512, 8_192     # a chunk is twice the mean leaf, within these
+FIRST = 8                # one visit in so many comes first and bounds the others' results
 AT_ONCE = 256            # queries compared with a chunk at a time
 
 
@@ -171,13 +172,14 @@ def _visited(tree: Tree, n: int, schema: pa.Schema):
             for part in (batch.slice(k, AT_ONCE) for k in range(0, batch.num_rows, AT_ONCE)):
                 leaves = tree.visits(_matrix(part.column("embedding")), n)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in leaves]))
-                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns), pa.array(np.concatenate(leaves), pa.int32())], schema=schema)
+                nth = np.concatenate([np.arange(len(x)) for x in leaves])
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns), pa.array(np.concatenate(leaves), pa.int32()), pa.array(nth, pa.int32())], schema=schema)
 
     return run
 
 
 def _met(k: int):
-    """Best entries of a chunk for each query that visits it."""
+    """Best entries of a chunk for each query that visits it, as far as they reach the query's bound."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids", pa.list_(pa.list_(pa.int64())))])
 
     def run(_, entries: pa.Table, queries: pa.Table) -> pa.Table:
@@ -187,6 +189,8 @@ def _met(k: int):
         least = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
         found = list(compared(_matrix(queries.column("embedding").combine_chunks()), _matrix(entries.column("embedding").combine_chunks()), least, k))
         query, near, scores = (np.concatenate(x) for x in zip(*found))
+        good = scores >= queries.column("bound").to_numpy()[query]
+        query, near, scores = query[good], near[good], scores[good]
         cuts = pa.array(tb.counted(query, queries.num_rows)[1], pa.int32())
         return pa.table([queries.column("h1"), queries.column("h2"), pa.ListArray.from_arrays(cuts, pa.array(scores)),
                          pa.ListArray.from_arrays(cuts, ids.take(pa.array(near)))], schema=schema)
@@ -253,19 +257,35 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         leaves[row["query"]].append(row["leaf"])
     n_visits = calibrated(tree, trial_vectors, leaves)
     visits = scratch.keep("visits", queries.mapInArrow(
-        _visited(tree, n_visits, pa.schema([*base, ("leaf", pa.int32())])), f"h1 bigint, h2 bigint, embedding {kind}, leaf int"))
+        _visited(tree, n_visits, pa.schema([*base, ("leaf", pa.int32()), ("nth", pa.int32())])), f"h1 bigint, h2 bigint, embedding {kind}, leaf int, nth int"))
     chunk = min(MOST_CHUNK, max(LEAST_CHUNK, 2 * n // tree.n_leaves))
-    sizes = placed.groupBy("leaf").count().withColumnRenamed("count", "n").join(
-        visits.groupBy("leaf").count().withColumnRenamed("count", "m"), "leaf")
-    sizes = F.broadcast(spark.createDataFrame([(r["leaf"], -(-r["n"] // chunk), -(-r["m"] // chunk)) for r in sizes.collect()], "leaf int, n int, m int"))
-    dealt = F.pmod(F.xxhash64("h2", F.lit(5)), F.col("n")).alias("own"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")
-    left = placed.join(sizes, "leaf").select("leaf", dealt[0].cast("int"), dealt[1], "embedding", "ids")
-    right = visits.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("own"), F.pmod(F.xxhash64("h2", F.lit(5)), F.col("m")).cast("int").alias("other"), "h1", "h2", "embedding")
-    met = left.groupBy("leaf", "own", "other").cogroup(right.groupBy("leaf", "own", "other")).applyInArrow(
-        _met(k + 1), "h1 bigint, h2 bigint, scores array<double>, ids array<array<bigint>>")
-    pairs = met.select("h1", "h2", F.explode(F.arrays_zip("scores", "ids")).alias("z")).select("h1", "h2", F.col("z.scores").alias("score"), F.explode("z.ids").alias("vec_id"))
     ranked = Window.partitionBy("h1", "h2").orderBy(F.col("score").desc(), "vec_id")
-    lists = pairs.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1).groupBy("h1", "h2").agg(
+
+    def met(calls: DataFrame) -> DataFrame:
+        """(h1, h2, score, vec_id) of the best entries in the leaves that these visits call on."""
+        sizes = placed.groupBy("leaf").count().withColumnRenamed("count", "n").join(calls.groupBy("leaf").count().withColumnRenamed("count", "m"), "leaf")
+        sizes = F.broadcast(spark.createDataFrame([(r["leaf"], -(-r["n"] // chunk), -(-r["m"] // chunk)) for r in sizes.collect()], "leaf int, n int, m int"))
+
+        def part(of: str) -> Column:
+            return F.pmod(F.xxhash64("h2", F.lit(5)), F.col(of)).cast("int")
+
+        def every(of: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+        left = placed.join(sizes, "leaf").select("leaf", part("n").alias("own"), every("m").alias("other"), "embedding", "ids")
+        right = calls.join(sizes, "leaf").select("leaf", every("n").alias("own"), part("m").alias("other"), "h1", "h2", "embedding", "bound")
+        both = left.groupBy("leaf", "own", "other").cogroup(right.groupBy("leaf", "own", "other")).applyInArrow(
+            _met(k + 1), "h1 bigint, h2 bigint, scores array<double>, ids array<array<bigint>>")
+        return both.select("h1", "h2", F.explode(F.arrays_zip("scores", "ids")).alias("z")).select(
+            "h1", "h2", F.col("z.scores").alias("score"), F.explode("z.ids").alias("vec_id"))
+
+    # The first visits bound a query's results from below, so the rest report what reaches that bound only.
+    n_first = -(-n_visits // FIRST)
+    first = scratch.keep("first", met(visits.where(F.col("nth") < n_first).withColumn("bound", F.lit(float("-inf")))).withColumn(
+        "nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1))
+    bounds = first.where(F.col("nth") == k + 1).select("h1", "h2", F.col("score").alias("bound"))
+    rest = met(visits.where(F.col("nth") >= n_first).join(bounds, ["h1", "h2"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))))
+    lists = first.drop("nth").unionByName(rest).withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1).groupBy("h1", "h2").agg(
         F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("found"))
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return asked.join(lists, ["h1", "h2"]).select("query_id", F.posexplode(others).alias("place", "x")).select(
