@@ -73,8 +73,36 @@ def test_stages_keep_columns(name, stage, odd, spark):
         out = stage(spark, frame, SF)
         assert out.columns == frame.columns
         rows = out.collect()
-        ids = {r["doc_id"] for r in frame.collect()}
-        assert {r["doc_id"] for r in rows} <= ids
+        ids = [r["doc_id"] for r in frame.collect()]
+        assert {r["doc_id"] for r in rows} <= set(ids)
+        stays = {"near-duplicates": [None, 1, 2, 3, 4, 5, 7, 8], "benchmark items": ids}.get(name)
+        if stays and ids:
+            assert sorted(str(r["doc_id"]) for r in rows) == sorted(map(str, stays))
+        if name == "repeated passages" and ids:
+            assert {None, 7, 8} <= {r["doc_id"] for r in rows}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_rows_without_id_stay_once(spark, kind):
+    """Different texts without an id all stay, copies among them once, and none beside a document with an id."""
+    texts = [" ".join(f"{a}{k}" for k in range(30)) for a in "abcd"]
+    rows = [(None, texts[0]), (None, texts[0]), (9, texts[1]), (None, texts[1]), (None, texts[2]), (10, texts[3]), (2, texts[3] + " more"), (None, None), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text", "1 as __key")
+    found = corpus_pipeline.near_duplicates(spark, frame, SF)
+    assert found.columns == frame.columns and found.schema["doc_id"].dataType == frame.schema["doc_id"].dataType
+    least = (10, texts[3]) if kind == "string" else (2, texts[3] + " more")           # "10" comes before "2"
+    want = [(None, texts[0]), (9, texts[1]), (None, texts[2]), least, (None, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in found.collect()))) == sorted(
+        str((i if i is None or kind != "string" else str(i), t)) for i, t in want)
+
+
+def test_text_ids_link_like_numbers(spark):
+    rows = [(k, " ".join(f"w{(k // 3 * 50) + j}" for j in range(20 + k % 3))) for k in range(12)] + [(None, "w0 w1 w2")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame, 2).collect()}
+    named = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame.selectExpr("'d' || lpad(doc_id, 3, '0') doc_id", "text"), 2).collect()}
+    assert named == {k if k is None else f"d{k:03d}": (c if c is None else f"d{c:03d}", kept) for k, (c, kept) in plain.items()}
+    assert {c for c, _ in plain.values()} == {0, 3, 6, 9, None}
 
 
 def test_last_stage(odd, spark):

@@ -148,14 +148,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     n-word shingles, or the whole sequence of a shorter text. Documents link when the common shingles are at
     least `percent` of the union; component_id is the smallest doc_id that links reach.
 
-    A null or blank text has an empty set and links with nothing. A row without doc_id links as an exact copy
+    Ids may be of any type that has an order; they come back as they are. A null or blank text has an empty set and links with nothing. A row without doc_id links as an exact copy
     only and is never kept; rows that repeat a doc_id share its component (kept is then true for each of the
     smallest). Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(docs.sparkSession)
     sketch = scratch.keep("sketch", docs.mapInArrow(
-        _sketch(n), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH)))
+        _sketch(n), f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH)))
     classes = scratch.keep("classes", sketch.where("d1 is not null").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1 and class_id is not null"))
     classed = sketch.join(classes, ["d1", "d2"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
@@ -169,8 +170,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     hits = scratch.keep("hits", hits.join(rank, "doc_id").select("bucket", "doc_id", "n_shingles", "rank", *SKETCH))
     scratch.drop("sketch", "classes", "shared", "plain-hits")
     centres = scratch.keep("centres", hits.groupBy("bucket").agg(
-        F.max(F.struct("rank", (-F.col("doc_id")).alias("minus"), "n_shingles", *SKETCH)).alias("c"))
-        .select("bucket", (-F.col("c.minus")).alias("b"), F.col("c.n_shingles").alias("nb"), *(F.col(f"c.{c}").alias(f"b{c}") for c in SKETCH)))
+        F.max(F.struct("rank", F.xxhash64("doc_id").alias("tie"), "doc_id", "n_shingles", *SKETCH)).alias("c"))
+        .select("bucket", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb"), *(F.col(f"c.{c}").alias(f"b{c}") for c in SKETCH)))
 
     def close(na, nb):
         return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         .select(F.col("doc_id").alias("a"), "b").distinct())
     wanted = scratch.keep("wanted", rank.select("doc_id").distinct())
     sets = scratch.keep("sets", docs.join(wanted, "doc_id", "left_semi").mapInArrow(
-        _sets(n), "doc_id bigint, shingles array<bigint>"))
+        _sets(n), f"doc_id {kind}, shingles array<bigint>"))
     measured = scratch.keep("measured", _compared(star, sets, percent))
     links = scratch.keep("links", measured.where("links").select("a", "b"))
     found = components(links).withColumnRenamed("node", "doc_id")
