@@ -4,10 +4,11 @@ Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor ke
 Parquet in the shared folder and reads it back as the next stage's input.
 """
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.llm import bpe, contamination, minhash, quality, suffixes
-from tidemark.llm.folds import protected
+from tidemark.llm.folds import prefix_for, protected
 from tidemark.session import cut_lineage
 
 
@@ -20,10 +21,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of every group of near-duplicates (five words, 80 %); the columns of `docs`.
 
-    Rows that repeat a doc_id and its text stay one row.
+    Rows that repeat a doc_id and its text stay one row. Rows without doc_id take part under a key of their text that
+    comes after all ids: one of each group of them stays, unless a row with an id stands for it.
     """
-    kept = minhash.near_duplicates(docs, n=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    key = f"{prefix_for(docs)}key"
+    keyed = docs.withColumn(key, _key(docs))
+    found = minhash.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), n=5, percent=80)
+    kept = found.where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key, "text"]).select(*docs.columns)
+
+
+def _key(docs: DataFrame) -> Column:
+    """doc_id, and for a row without one a key of its text beyond the largest id."""
+    text = F.coalesce("text", F.lit(""))
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\U0010ffff"), F.sha2(text, 256)))
+    largest = docs.agg(F.max("doc_id")).first()[0] or 0
+    room = max(1, (1 << 63) - 2 - max(0, largest))
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(largest).cast("bigint") + 1 + F.pmod(F.xxhash64(text), F.lit(room)))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
