@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.operators.ranking import rank_by_hash
+from tidemark.operators.selection import exact_percentile
 from tidemark.operators.vectors import matrix_of
 from tidemark.session import cut_lineage
 
@@ -138,5 +139,5 @@ def run_draws(draws: DataFrame, pool: Pool, address: Callable, statistic: Callab
 
 
 def p_threshold(scores: DataFrame, by: list[str], percentile: float, value: str = "statistic") -> DataFrame:
-    """Percentile with linear interpolation per key."""
-    return scores.groupBy(*by).agg(F.percentile(value, F.lit(percentile / 100.0)).alias("threshold"))
+    """Percentile with linear interpolation per key; no key's values are gathered."""
+    return exact_percentile(scores, by, value, percentile / 100.0, "threshold")

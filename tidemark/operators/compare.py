@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import scoring, timestamps as ts
+from tidemark.operators.ordered import with_earlier
 
 
 # Fixed value: pipeline tag of records that carry none.
@@ -125,14 +126,14 @@ def by_month(compared: DataFrame) -> DataFrame:
 def with_previous(df: DataFrame) -> DataFrame:
     """The preceding record of every record in stream order; the first one precedes itself.
 
-    Works on one-row-per-window frames: the next record is found by position, not by a payload sort.
+    Works on one-row-per-window frames in range slices; a slice's last record goes on to the next slice.
     """
-    order = Window.orderBy("window_id")
-    return df.withColumns({
-        "before_window_id": F.coalesce(F.lag("window_id").over(order), F.col("window_id")),
-        "before_window_start": F.coalesce(F.lag("window_start").over(order), F.col("window_start")),
-        "before_posts": F.coalesce(F.lag("n_posts").over(order), F.col("n_posts")),
-    })
+    before = F.get("earlier", F.lit(0))
+    return with_earlier(df, ["window_id"], ["window_id", "window_start", "n_posts"], 1).withColumns({
+        "before_window_id": F.coalesce(before["window_id"], F.col("window_id")),
+        "before_window_start": F.coalesce(before["window_start"], F.col("window_start")),
+        "before_posts": F.coalesce(before["n_posts"], F.col("n_posts")),
+    }).drop("earlier")
 
 
 # How many windows of each class are explained (None = all) and why.
