@@ -18,7 +18,6 @@ from tidemark.sinks import models
 
 FRECHET = fd.FrechetParams()
 CONCEPT = cd.ConceptParams()
-SEEDS = [42, 1, 2, 3, 4]
 FIRST = "(select window_id from (select distinct window_id from vectors) order by window_id limit 14)"
 
 
@@ -222,15 +221,3 @@ def model_store(spark, sf_dir):
     rows = same.pool.frame.agg(F.count("*").alias("n_pool"))
     return rows.select(F.lit(same is not None).alias("reused"), F.lit(other is not None).alias("other_model"),
                        F.lit(moved is not None).alias("other_reference"), "n_pool")
-
-
-@query()
-def seed_sweep(spark, sf_dir):
-    """Detector B refitted for every published seed on four scenario streams of the vectors."""
-    vectors = _vectors(spark, sf_dir)
-    digit = F.substring("post_id", -1, 1).cast("int")
-    name = F.when(digit < 3, "sudden").when(digit < 6, "gradual").when(digit < 8, "volume").otherwise("no_drift")
-    split = vectors.withColumn("scenario", name).drop("window_start")
-    truth = ds.truth(spark, sf_dir).filter(F.col("scenario").isin("sudden", "gradual", "volume", "no_drift"))
-    return scoring.seed_sweep(split, truth, ds.N_REFERENCE, CONCEPT, SEEDS).withColumn(
-        "alarm_positions", F.array_join(F.col("alarm_positions").cast("array<string>"), ","))

@@ -18,7 +18,7 @@ _owned: ContextVar[list | None] = ContextVar("tables of the running block", defa
 
 def build_session(app: str = "tidemark", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
-    """Session with the settings the operators rely on; cluster values already set are kept."""
+    """Session with the settings the operators rely on, the package sent to its workers; cluster values already set are kept."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -33,7 +33,9 @@ def build_session(app: str = "tidemark", master: str | None = None,
             builder = builder.config("spark.driver.memory", "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -72,19 +74,23 @@ def _remove(jvm, configuration, path: str) -> None:
     target.getFileSystem(configuration).delete(target, True)
 
 
+def table_folder(spark: SparkSession) -> str:
+    """Folder of all intermediate tables of a session, named after the application and removed when the driver ends."""
+    root = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root)
+    return root
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise rows once as a table in the shared folder, so later passes see the very same rows.
 
     Unlike `checkpoint()` this computes the plan once, and readers get column pruning and real sizes.
-    The tables live briefly, so no dictionaries are built. All tables of a session lie under one folder
-    named after the application, which is removed when the driver ends.
+    The tables live briefly, so no dictionaries are built.
     """
     spark = df.sparkSession
-    root = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
-    if root not in _roots:
-        _roots.add(root)
-        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root)
-    path = f"{root}/{uuid.uuid4().hex}"
+    path = f"{table_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("parquet.enable.dictionary", "false").parquet(path)
     if _owned.get() is not None:
         _owned.get().append(path)
