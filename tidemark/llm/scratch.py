@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import shared_folder
+from tidemark.session import table_folder
 
 
 class Scratch:
@@ -13,7 +13,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        self.folder = f"{table_folder(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
