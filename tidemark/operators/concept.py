@@ -61,6 +61,28 @@ def init_weights(dim: int, params: ConceptParams) -> list[dict]:
     return members
 
 
+LAYERS = ("item", "mix", "set", "out")
+
+
+def fixed_members(dim: int, params: ConceptParams) -> list[dict]:
+    """An encoder whose weights and biases (the place after a row's weights) are a formula of their place.
+
+    With k = 1009 row + 917 column + 613 layer + 307 member + 1 the weight is ((k^2 + 3 k) mod 2003 - 1001) / 1001,
+    scaled by the root of the fan-in. It needs no training and no generator, so any engine can repeat its scores.
+    """
+    h, o = params.hidden_dim, params.output_dim
+    shapes = dict(zip(LAYERS, ((h, dim), (h, h), (h, h), (o, h))))
+    members = []
+    for member in range(params.n_encoders):
+        weights = {}
+        for layer, (name, (rows, cols)) in enumerate(shapes.items()):
+            k = 1009 * np.arange(rows)[:, None] + 917 * np.arange(cols + 1) + 613 * layer + 307 * member + 1
+            values = ((k * k + 3 * k) % 2003 - 1001) / 1001.0 / np.sqrt(cols)
+            weights[f"{name}_w"], weights[f"{name}_b"] = values[:, :cols], values[:, cols]
+        members.append(weights)
+    return members
+
+
 def item_features(rows: np.ndarray, members: list[dict]) -> np.ndarray:
     """Rectified first item layer of every member, side by side: (rows, members x hidden)."""
     return np.hstack([np.maximum(rows @ w["item_w"].T + w["item_b"], 0.0) for w in members])
@@ -83,8 +105,8 @@ class ConceptModel:
     mean: np.ndarray
     std: np.ndarray
     members: list[dict]
-    held: DataFrame                    # held-out reference rows (window_id, post_id, embedding)
-    pool: bs.Pool                      # the same rows, addressed for calibration draws
+    held: DataFrame | None = None      # held-out reference rows (window_id, post_id, embedding)
+    pool: bs.Pool | None = None        # the same rows, addressed for calibration draws
     thresholds: DataFrame | None = None       # (size, n_context, threshold)
     losses: list = field(default_factory=list)
     meta: dict = field(default_factory=dict)
@@ -225,6 +247,20 @@ def encode_sets(sets: DataFrame, sizes: DataFrame, model: ConceptModel) -> DataF
         encode, "window_id bigint, size bigint, concept array<double>")
 
 
+def fixed_model(rows: DataFrame, params: ConceptParams) -> ConceptModel:
+    """Standardisation of these vectors and the encoder of `fixed_members`; it has no thresholds."""
+    scaler = fit_scaler(rows).first()
+    mean, std = np.asarray(scaler["mean"]), np.asarray(scaler["std"])
+    return ConceptModel(params, mean, std, fixed_members(len(mean), params))
+
+
+def context_discrepancy(sets: DataFrame, model: ConceptModel) -> DataFrame:
+    """Score of every window of `sets` (window_id, rn, embedding) against the windows before it, at their common size."""
+    per_window = sets.groupBy("window_id").agg(F.count("*").alias("set_size"))
+    placed = settle(positions(per_window, 0).drop("is_reference").join(per_window, "window_id"))
+    return _discrepancies(sets, placed, context_frame(placed, model.params.context_windows), model)
+
+
 def max_discrepancy(concepts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Largest distance of each window to its context at the common size; lag of the first maximum.
 
@@ -254,7 +290,12 @@ def raw_scores(stream: DataFrame, model: ConceptModel, targets_only: DataFrame |
         placed.filter("NOT is_context").select("window_id"), "window_id", "left_semi")
     if targets_only is not None:
         targets = targets.join(targets_only.select("window_id"), "window_id", "left_semi")
-    pairs = context_pairs(placed.select("window_id", "position"), c).join(
+    return _discrepancies(sets, placed, targets, model)
+
+
+def _discrepancies(sets: DataFrame, placed: DataFrame, targets: DataFrame, model: ConceptModel) -> DataFrame:
+    """Largest discrepancy of every target (window_id, size, n_context) to its context windows."""
+    pairs = context_pairs(placed.select("window_id", "position"), model.params.context_windows).join(
         targets.select("window_id", "size", "n_context"), "window_id")
     needed = pairs.select("window_id", "size").unionByName(pairs.select(F.col("context_id").alias("window_id"), "size"))
     sizes = needed.groupBy("window_id").agg(F.array_sort(F.collect_set("size")).alias("sizes"))   # at most C + 1 each

@@ -1,13 +1,14 @@
 """Samples, splits, vector aggregates and embeddings."""
 from pyspark.sql import functions as F
 
-from tidemark.operators import bootstrap as bs, contexts as cx, embedding as em, ranking as rk, sampling as sp, vectors as vc
+from tidemark.operators import bootstrap as bs, concept as cd, contexts as cx, embedding as em, ranking as rk, sampling as sp, vectors as vc
 from tidemark.operators.concept import equal_slices
 from tidemark.operators.windowing import positions
 from tidemark.plans import datasets as ds
 from tidemark.plans.catalog import query
 from tidemark.plans.catalog import sql as twin
 from tidemark.plans.catalog.ingestion import scratch
+from tidemark.session import cut_lineage
 
 KEYED = twin.order_key(42, "window_id", "post_id", tie="post_id")
 ITEMS = "select window_id, post_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from vectors"
@@ -112,6 +113,68 @@ def p_threshold(spark, sf_dir):
     return bs.p_threshold(ds.table(spark, sf_dir, "events"), ["event_type"], 99.0, "value").withColumn("threshold", F.round("threshold", 6))
 
 
+def _fixed_encoder(hidden: int, output: int, members: int, sizes: str) -> str:
+    """Concept vectors in SQL: (window_id, size, m, v) of the fixed encoder for `sizes` (window_id, size)."""
+    def weights(layer: int, rows: int, cols: str) -> str:
+        def w(c: str) -> str:
+            k = f"(1009 * r + 917 * {c} + 613 * {layer} + 307 * m + 1)"
+            return f"((({k} * {k} + 3 * {k}) % 2003 - 1001) / 1001.0::double / sqrt({cols}))"
+        return f"(select m, r, list_transform(range({cols}), lambda c: {w('c')}) w, {w(cols)} b from range({members}) t(m), range({rows}) u(r))"
+
+    dim = "(select len(mu) from scaler)"
+    return f"""
+scaler as (select list(m order by i) mu, list(s order by i) sd from ({_SCALER})),
+rows as (select window_id, row_number() over (partition by window_id order by {KEYED}) as rn,
+         list_transform(range(len(embedding)), lambda i: (embedding[i + 1]::double - mu[i + 1]) / sd[i + 1]) z from vectors, scaler),
+sets as (select * from rows where rn <= 1000),
+sizes as ({sizes}),
+item_w as (select m, r, w, b from (select {dim} d), lateral {weights(0, hidden, "d")}),
+features as (select window_id, rn, m, r, greatest(0, list_inner_product(z, w) + b) f from sets, item_w),
+pooled as (select window_id, size, m, list(f order by r) p from (
+    select window_id, size, m, r, avg(f) f from features join sizes using (window_id) where rn <= size group by all) group by all),
+mixed as (select window_id, size, m, list(list_inner_product(p, w) + b order by r) v from pooled join {weights(1, hidden, str(hidden))} using (m) group by all),
+hidden as (select window_id, size, m, list(greatest(0, list_inner_product(v, w) + b) order by r) v from mixed join {weights(2, hidden, str(hidden))} using (m) group by all),
+concepts as (select window_id, size, m, list((list_inner_product(v, w) + b) / sqrt({members}) order by r) v
+             from hidden join {weights(3, output, str(hidden))} using (m) group by all)"""
+
+
+_OWN_SIZE = "select window_id, least(count(*), 1000) as size from vectors group by window_id"
+
+
+@query(sql=f"""
+with {_fixed_encoder(128, 64, 5, _OWN_SIZE)}
+select window_id, size::bigint as size, (m * 64 + i)::int as place, round(x, 6) as value
+from (select window_id, size, m, unnest(v) x, unnest(range(len(v))) i from concepts)""")
+def encode_sets_fixed(spark, sf_dir):
+    """Every component of every window's concept vector, by the fixed encoder at the published sizes."""
+    params = cd.ConceptParams()
+    rows = _vectors(spark, sf_dir)
+    sets = sp.sample_per_window(rows, params.scoring_sample_size, params.seed)
+    sizes = sets.groupBy("window_id").agg(F.array(F.count("*")).alias("sizes"))
+    return cd.encode_sets(sets, sizes, cd.fixed_model(rows, params)).select("window_id", "size", F.posexplode("concept").alias("place", "x")).select(
+        "window_id", "size", "place", F.round("x", 6).alias("value"))
+
+
+@query(sql=f"""
+with spots as (select window_id, row_number() over (order by window_id) - 1 as position, least(count(*), 1000) as n from vectors group by window_id),
+target as (select window_id, position, count(*) over w as n_context, least(n, min(n) over w) as size from spots window w as (order by position rows between 10 preceding and 1 preceding)),
+couples as (select t.window_id, t.position, t.size, c.window_id as context_id, c.position as context_position
+          from target t join spots c on c.position between t.position - 10 and t.position - 1),
+{_fixed_encoder(16, 8, 2, "select window_id, size from couples union select context_id, size from couples")},
+whole as (select window_id, size, flatten(list(v order by m)) v from concepts group by all),
+gaps as (select p.*, list_distance(a.v, b.v) gap from couples p join whole a on a.window_id = p.window_id and a.size = p.size
+         join whole b on b.window_id = p.context_id and b.size = p.size)
+select t.window_id, t.size::bigint as size, t.n_context::int as n_context, round(g.score, 6) as score, g.lag::int as lag from target t
+left join (select window_id, max(gap) score, any_value(position) - arg_max(context_position, {{'gap': gap, 'earliest': -context_position}}) lag from gaps group by 1) g using (window_id)""")
+def mcd_raw_fixed(spark, sf_dir):
+    """Largest discrepancy of every window to the ten before it, by a small fixed encoder."""
+    params = cd.ConceptParams(hidden_dim=16, output_dim=8, n_encoders=2)
+    rows = _vectors(spark, sf_dir)
+    sets = cut_lineage(sp.sample_per_window(rows, params.scoring_sample_size, params.seed).select("window_id", "rn", "embedding"))
+    return cd.context_discrepancy(sets, cd.fixed_model(rows, params)).select(
+        "window_id", "size", "n_context", F.round("mcddd_score", 6).alias("score"), F.col("mcddd_lag").alias("lag"))
+
+
 _PLACES = "select window_id, cast(row_number() over (order by window_id) - 1 as integer) as position, count(*) as set_size from vectors group by window_id"
 
 
