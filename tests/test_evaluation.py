@@ -248,3 +248,24 @@ def test_ground_truth_and_index(spark, pools):
     rows = inj.inject_drift(pools, inj.injection_plan(spark, PARAMS), PARAMS)
     index = {r["scenario"]: r for r in inj.scenario_index(inj.composition(rows), inj.ground_truth(spark, PARAMS)).collect()}
     assert (index["volume"]["n_windows"], index["volume"]["n_posts"], index["volume"]["volume_change_position"]) == (20, 440, 8)
+
+
+def test_injected_parts_are_stretches_of_the_order(spark):
+    """A window above a bound goes on in parts: together they are the unparted window, and none exceeds the bound."""
+    rows = [("volume", 8, "stream", 20, "2020-01-21", "2020-01-22", f"p{k}", f"text {k}", f"{(k * 37) % 101:03d}") for k in range(45)]
+    rows += [("volume", 9, "stream", 21, "2020-01-22", "2020-01-23", f"q{k}", "t", f"{k:03d}") for k in range(3)]
+    frame = spark.createDataFrame(rows, "scenario string, position int, phase string, window_id long, window_start string, window_end string, post_id string, text string, order_key string")
+    whole = {r["position"]: r for r in inj.injected_windows(frame).collect()}
+    assert all(r["part"] == r["part_offset"] == 0 for r in whole.values()) and whole[8]["post_count"] == 45
+    for bound, most in (({"max_part_rows": 10}, 10), ({"max_part_bytes": 70}, 10)):
+        parts = {}
+        for r in inj.injected_windows(frame, **bound).collect():
+            parts.setdefault(r["position"], {})[r["part"]] = r
+        for position, by_part in parts.items():
+            texts, ids = [], []
+            for k in range(len(by_part)):
+                assert by_part[k]["part_offset"] == len(ids) and len(by_part[k]["post_ids"]) <= most
+                assert by_part[k]["post_count"] == whole[position]["post_count"]
+                texts, ids = texts + by_part[k]["texts"], ids + by_part[k]["post_ids"]
+            assert (texts, ids) == (whole[position]["texts"], whole[position]["post_ids"])
+        assert len(parts[8]) == 5 and len(parts[9]) == 1
