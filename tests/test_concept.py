@@ -81,16 +81,27 @@ def test_volume_does_not_change_the_threshold(model, frame):
     assert rows[100]["mcddd_threshold"] == rows[101]["mcddd_threshold"]
 
 
-def test_calibration_paths_agree(model, spark):
+def test_scores_do_not_depend_on_the_blocks(model, spark):
+    """All three regimes, with the pool in one block and in many."""
     keys = spark.createDataFrame([(50, 4), (300, 4), (900, 4)], "size bigint, n_context bigint")
     regimes = [cd.calibration_regime(model.pool.counts, s, 4) for s in (50, 300, 900)]
     assert regimes == ["windows", "disjoint", "independent"]
     small = cd.ConceptModel(**{**vars(model), "params": cd.ConceptParams(**{**vars(FAST), "n_calibration": 6})})
     near = {(r["size"], r["draw"]): r["statistic"] for r in cd.calibration_scores(small, keys).collect()}
-    pool = bs.Pool(model.pool.frame, model.pool.groups, model.pool.counts, model.pool.width, limit=0)
+    pool = bs.Pool(model.pool.frame, model.pool.groups, model.pool.counts, model.pool.width, block_rows=97)
     far = {(r["size"], r["draw"]): r["statistic"] for r in cd.calibration_scores(
         cd.ConceptModel(**{**vars(small), "pool": pool}), keys).collect()}
-    assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], rel=1e-3) for k in near)
+    assert near.keys() == far.keys() and len(near) == 18
+    assert all(near[k] == pytest.approx(far[k], rel=1e-4, abs=1e-6) for k in near)
+
+
+def test_drawn_sets_are_disjoint_or_of_different_windows(model):
+    total, seed = model.pool.size, FAST.seed
+    for draw in range(10):
+        rows = np.concatenate([s.positions(0, total) for s in cd.drawn_sets(model.pool, seed, 300, 4, draw)])
+        assert len(rows) == len(np.unique(rows)) == 1500
+        sets = cd.drawn_sets(model.pool, seed, 50, 4, draw)
+        assert len({s.first for s in sets}) == 5 and [s.first for s in sets] == sorted(s.first for s in sets)
 
 
 def test_slices(spark, frame):
@@ -128,7 +139,7 @@ def test_training_lowers_the_loss_on_both_paths(spark, frame):
     pool = tr.training_pool(cd.sub_windows(rows, 5), mean, std, params.seed)
     _, near = tr.train_encoder(rows, mean, std, members, params, pool)
     assert near[-1] < near[0]
-    far_pool = bs.Pool(pool.frame, pool.groups, pool.counts, pool.width, limit=0)
+    far_pool = tr.TrainingPool(pool.frame, pool.groups, pool.counts, pool.width, limit=0)
     two = cd.ConceptParams(**{**vars(params), "train_epochs": 2})
     _, far = tr.train_encoder(rows, mean, std, members, two, far_pool)
     assert np.allclose(near[:2], far)

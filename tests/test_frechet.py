@@ -79,15 +79,69 @@ def test_alarm_only_on_shift(model, frame):
     assert rows[14]["driftlens_score"] is None and rows[14]["driftlens_alarm"] is False
 
 
-def test_join_path_equals_broadcast_path(model, spark):
-    sizes = spark.createDataFrame([(50,), (180,), (900,)], "size bigint")
-    near = {(r["size"], r["draw"]): r["statistic"] for r in fd.calibration_scores(model, sizes).collect()}
-    far_pool = bs.Pool(model.pool.frame, model.pool.groups, model.pool.counts, model.pool.width, limit=0)
-    far = fd.FrechetModel(**{**vars(model), "pool": far_pool})
-    assert not far_pool.fits()
-    far_scores = {(r["size"], r["draw"]): r["statistic"] for r in fd.calibration_scores(far, sizes).collect()}
-    assert near.keys() == far_scores.keys()
-    assert all(near[k] == pytest.approx(far_scores[k], rel=1e-9) for k in near)
+@pytest.mark.parametrize("first,rows,size", [(0, 1, 1), (7, 50, 1), (7, 50, 49), (0, 50, 50), (3, 1000, 130), (0, 977, 600)])
+def test_a_draw_has_its_size_and_no_row_twice(first, rows, size):
+    for draw in range(20):
+        drawn = bs.Draw(f"7#{draw}", first, rows, size, size)
+        whole = drawn.positions(0, first + rows + 5)
+        assert len(whole) == len(np.unique(whole)) == size and whole.min() >= first and whole.max() < first + rows
+        for step in (1, 13, 400):
+            pieces = [drawn.positions(low, low + step) for low in range(0, first + rows + 5, step)]
+            assert np.array_equal(np.sort(np.concatenate(pieces)), np.sort(whole))
+
+
+def test_disjoint_sets_share_no_row_and_independent_sets_may_repeat():
+    sets = [bs.Draw("1#2", 10, 400, 70, 350, i, 5) for i in range(5)]
+    rows = np.concatenate([s.positions(0, 500) for s in sets])
+    assert len(rows) == len(np.unique(rows)) == 350
+    for step in (3, 90):
+        for s in sets:
+            assert sum(len(s.positions(low, low + step)) for low in range(0, 500, step)) == 70
+    repeated = bs.Draw("1#2", 10, 5, 70, 0).positions(0, 500)
+    assert len(repeated) == 70 and set(repeated) == set(range(10, 15))
+
+
+def test_drawn_means_spread_as_without_replacement():
+    """Every row equally likely; the variance of a drawn mean is that of a simple draw, for small and large shares."""
+    rng = np.random.default_rng(8)
+    values = rng.standard_normal(400)
+    for size in (20, 200, 380):
+        drawn = [bs.Draw(f"5#{size}#{d}", 0, 400, size, size).positions(0, 400) for d in range(4000)]
+        share = np.bincount(np.concatenate(drawn), minlength=400) / 4000
+        assert np.abs(share - size / 400).max() < 5 * np.sqrt(size / 400 * (1 - size / 400) / 4000)
+        spread = np.var([values[d].mean() for d in drawn])
+        assert spread == pytest.approx(values.var(ddof=1) / size * (1 - size / 400), rel=0.25)
+
+
+def test_folded_shares_keep_the_moments():
+    x = np.random.default_rng(9).standard_normal((300, 6)) + 3.0
+    n, mean, covariance = fd.moments_of([fd.fold_rows(x[:4]), fd.fold_rows(x[4:5]), fd.fold_rows(x[5:])])
+    assert n == 300 and np.allclose(mean, x.mean(axis=0)) and np.allclose(covariance, np.cov(x, rowvar=False))
+
+
+@pytest.mark.parametrize("blocks", [4, 16])
+def test_scores_do_not_depend_on_the_blocks(model, spark, blocks):
+    """Draws inside one window, over all windows, and of the whole pool; equal with the pool in 1, 4 or 16 blocks."""
+    sizes = spark.createDataFrame([(1,), (50,), (180,), (400,), (1000,)], "size bigint")
+
+    def scored(block_rows):
+        pool = bs.Pool(model.pool.frame, model.pool.groups, model.pool.counts, model.pool.width, block_rows)
+        found = fd.calibration_scores(fd.FrechetModel(**{**vars(model), "pool": pool}), sizes).collect()
+        return {(r["size"], r["draw"]): r["statistic"] for r in found}
+
+    one, many = scored(model.pool.size), scored(-(-model.pool.size // blocks))
+    assert one.keys() == many.keys() and len(one) == 5 * PARAMS.n_calibration
+    assert all(np.isnan(one[k]) == np.isnan(many[k]) == (k[0] == 1) for k in one)
+    assert all(one[k] == pytest.approx(many[k], rel=1e-9, abs=1e-12) for k in one if k[0] > 1)
+
+
+def test_a_draw_equals_numpy(model, spark):
+    rows = {r["pos"]: r["vec"] for r in model.pool.positioned().collect()}
+    found = fd.calibration_scores(model, spark.createDataFrame([(60,)], "size bigint")).filter("draw < 3").collect()
+    for r in found:
+        x = np.array([rows[p] for p in fd.drawn_set(model.pool, PARAMS.seed, 60, r["draw"]).positions(0, model.pool.size)])
+        expected = fd.frechet_distance(model.mu_b, model.sigma_b, x.mean(axis=0), np.cov(x, rowvar=False))
+        assert r["statistic"] == pytest.approx(expected, rel=1e-9)
 
 
 def test_grouped_calibration_sees_window_variation(frame):

@@ -168,35 +168,45 @@ def calibration_regime(counts: np.ndarray, size: int, n_context: int) -> str:
     return "disjoint" if counts.sum() >= n_sets * size else "independent"
 
 
-def calibration_scores(model: ConceptModel, keys: DataFrame) -> DataFrame:
-    """Largest distance of the last of n_context + 1 in-distribution sets to the others, per draw."""
-    counts, starts, total = model.pool.counts, model.pool.starts, model.pool.size
-    seed, members, mean, std = model.params.seed, model.members, model.mean, model.std
+def drawn_sets(pool: bs.Pool, seed: int, size: int, n_context: int, draw: int) -> list[bs.Draw]:
+    """The n_context + 1 sets of one calibration draw, the scored set last.
 
-    def address(key: dict) -> np.ndarray:
-        size, n_sets = key["size"], key["n_context"] + 1
-        rng = np.random.default_rng([seed, size, key["n_context"], key["draw"]])
-        regime = calibration_regime(counts, size, n_sets - 1)
-        if regime == "windows":
-            chosen = np.sort(rng.choice(np.flatnonzero(counts >= 2 * size), n_sets, replace=False))
-            return np.stack([starts[g] + rng.choice(int(counts[g]), size, replace=False) for g in chosen])
-        if regime == "disjoint":
-            return rng.choice(total, n_sets * size, replace=False).reshape(n_sets, size)
-        return np.stack([rng.choice(total, size, replace=total < size) for _ in range(n_sets)])
+    Distinct windows in time order, or every n-th slot of one large pooled draw (disjoint sets), or a draw for each set
+    (with repeats if the pool holds fewer than `size` rows).
+    """
+    n_sets, total = n_context + 1, pool.size
+    salt, regime = f"{seed}#{size}#{n_context}#{draw}", calibration_regime(pool.counts, size, n_context)
+    if regime == "windows":
+        large = np.flatnonzero(pool.counts >= 2 * size)
+        chosen = large[bs.distinct_choice(f"{salt}#windows", len(large), n_sets)]
+        return [bs.Draw(f"{salt}#{i}", int(pool.starts[g]), int(pool.counts[g]), size, size) for i, g in enumerate(chosen)]
+    if regime == "disjoint":
+        return [bs.Draw(salt, 0, total, size, n_sets * size, i, n_sets) for i in range(n_sets)]
+    return [bs.Draw(f"{salt}#{i}", 0, total, size, size if total >= size else 0) for i in range(n_sets)]
 
+
+def calibration_scores(model: ConceptModel, keys: DataFrame) -> DataFrame:
+    """Largest distance of the last of n_context + 1 in-distribution sets to the others, per draw.
+
+    A block's share of a draw is one sum of item features for each set.
+    """
+    layout = bs.Pool(None, model.pool.groups, model.pool.counts, model.pool.width)       # travels without its frame
+    seed, members, mean, std = model.params.seed, model.members, model.mean, model.std
     single = [{name: part.astype(np.float32) for name, part in w.items()} for w in members]
 
     def prepare(rows: np.ndarray) -> np.ndarray:
         return item_features(((rows - mean) / std).astype(np.float32), single)
 
-    def statistic(features: np.ndarray) -> float:
-        share = np.full((1, features.shape[1]), 1.0 / features.shape[1], dtype=np.float32)
-        concepts = concept_vectors(np.matmul(share, features)[:, 0, :].astype(np.float64), members)
+    def fold(sets: list[np.ndarray]) -> np.ndarray:
+        return np.stack([s.sum(axis=0, dtype=np.float64) for s in sets])
+
+    def finish(key: dict, shares: list[np.ndarray]) -> float:
+        concepts = concept_vectors(np.sum(shares, axis=0) / key["size"], members)
         return float(np.linalg.norm(concepts[:-1] - concepts[-1], axis=1).max())
 
-    draws = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(model.params.n_calibration - 1).cast("long")))
     wanted = keys.select(F.col("size").cast("long").alias("size"), F.col("n_context").cast("long").alias("n_context"))
-    return bs.run_draws(wanted.distinct().select("size", "n_context", draws.alias("draw")), model.pool, address, statistic, prepare)
+    return bs.run_draws(wanted, model.params.n_calibration, model.pool,
+                        lambda key, draw: drawn_sets(layout, seed, key["size"], key["n_context"], draw), fold, finish, prepare)
 
 
 def calibrate(model: ConceptModel, keys: DataFrame) -> DataFrame:

@@ -121,25 +121,49 @@ def calibration_draws(sizes: DataFrame, n_draws: int) -> DataFrame:
     return sizes.select(F.col("size").cast("long").alias("size")).distinct().select("size", draws.alias("draw"))
 
 
+def drawn_set(pool: bs.Pool, seed: int, size: int, draw: int) -> bs.Draw:
+    """Rows of one calibration draw: round-robin over windows that hold `size` rows, else pooled; all rows of a short pool."""
+    first, rows = 0, pool.size
+    eligible = np.flatnonzero(pool.counts >= size)
+    if len(eligible):
+        chosen = eligible[draw % len(eligible)]
+        first, rows = int(pool.starts[chosen]), int(pool.counts[chosen])
+    size = min(size, rows)
+    return bs.Draw(f"{seed}#{size}#{draw}", first, rows, size, size)
+
+
+def fold_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows with a leading one, or the triangular factor with the same products once there are more rows than columns."""
+    full = np.column_stack([np.ones(len(rows)), rows])
+    return full if len(full) <= full.shape[1] else np.linalg.qr(full, mode="r")
+
+
+def moments_of(shares: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, covariance) of all rows behind folded shares."""
+    stacked = np.vstack(shares)
+    n = round(float(stacked[:, 0] @ stacked[:, 0]))
+    mean = stacked[:, 0] @ stacked[:, 1:] / n
+    centred = stacked[:, 1:] - stacked[:, :1] * mean
+    return n, mean, centred.T @ centred / max(n - 1, 1)
+
+
 def calibration_scores(model: FrechetModel, sizes: DataFrame) -> DataFrame:
-    """Distance of every calibration draw: round-robin over windows that hold `size` rows, else pooled."""
-    counts, starts, total, seed = model.pool.counts, model.pool.starts, model.pool.size, model.params.seed
-    distance = _to_baseline(model.sigma_diag)
-
-    def address(key: dict) -> np.ndarray:
-        size, draw = key["size"], key["draw"]
-        eligible = np.flatnonzero(counts >= size)
-        first, rows = (0, total)
-        if len(eligible):
-            chosen = eligible[draw % len(eligible)]
-            first, rows = starts[chosen], int(counts[chosen])
-        if rows <= size:
-            return first + np.arange(rows)[None, :]
-        rng = np.random.default_rng([seed, size, draw])
-        return first + rng.choice(rows, size, replace=False)[None, :]
-
-    draws = calibration_draws(sizes, model.params.n_calibration)
-    return bs.run_draws(draws, model.pool, address, lambda rows: distance(rows[0]))
+    """Distance of every calibration draw to the baseline; NaN below two rows.
+
+    A block's share of a draw holds n, the sums and the products of its rows, so only that is shuffled, and only
+    for draws that cross blocks.
+    """
+    layout = bs.Pool(None, model.pool.groups, model.pool.counts, model.pool.width)       # travels without its frame
+    root = np.diag(np.sqrt(np.clip(model.sigma_diag, 0.0, None)))
+    trace, origin, seed = float(model.sigma_diag.sum()), model.mu_b, model.params.seed
+
+    def finish(key: dict, shares: list[np.ndarray]) -> float:
+        n, mean, covariance = moments_of(shares)
+        return float("nan") if n < 2 else _distance(origin, root, trace, mean, covariance)
+
+    keys = sizes.select(F.col("size").cast("long").alias("size"))
+    return bs.run_draws(keys, model.params.n_calibration, model.pool,
+                        lambda key, draw: [drawn_set(layout, seed, key["size"], draw)], lambda sets: fold_rows(sets[0]), finish)
 
 
 def calibrate(model: FrechetModel, sizes: DataFrame) -> DataFrame:

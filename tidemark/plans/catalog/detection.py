@@ -117,6 +117,88 @@ def driftlens_score(spark, sf_dir):
     return fd.driftlens_score(vectors, fd.fit_frechet(reference, FRECHET))
 
 
+# The detector on a plane: every vector becomes the sums of its two halves. With two components the trace of the matrix
+# root is closed (Tr sqrt(M) = sqrt(Tr M + 2 sqrt(det M))) and the distance does not depend on the axes, so SQL states the
+# whole way: split, baseline, pool order, draws by their formula, moments, distances, thresholds.
+def slot_place(rows: str, span: str) -> str:
+    """Place of slot j of a draw with digest `d` among `rows` rows, as `bootstrap.Draw` defines it; without a span rows may repeat."""
+    k = [f"('0x' || substr(d, {i}, 8))::bigint" for i in (1, 9, 17, 25)]
+    p = "2147483647"
+    hashed = f"((({k[2]} % {p} * (j + 1) % {p} + {k[1]} % {p}) % {p} * (j + 1) + {k[0]} % {p}) % {p})"
+    start, end = f"(j * {rows} // ({span}))", f"((j + 1) * {rows} // ({span}))"
+    return f"({start} + {hashed} % ({end} - {start}) + {k[3]} % {rows}) % {rows}"
+
+
+def _plane_distance() -> str:
+    """From own moments n, mx, my (about the baseline's mean), a, b, c and the baseline's a0, b0, c0."""
+    product = "(a * a0 + 2 * b * b0 + c * c0)"
+    roots = "greatest((a * c - b * b) * (a0 * c0 - b0 * b0), 0)"
+    return f"greatest(mx * mx + my * my + a + c + a0 + c0 - 2 * sqrt(greatest({product} + 2 * sqrt({roots}), 0)), 0)"
+
+
+_MOMENTS = "count(*) as n, avg(x) as mx, avg(y) as my, covar_samp(x, x) as a, covar_samp(x, y) as b, covar_samp(y, y) as c"
+_PLANE = f"""
+with flat as (select window_id, post_id, list_sum(list_transform(embedding[1:len(embedding) // 2], lambda v: v::double)) as x,
+    list_sum(list_transform(embedding[len(embedding) // 2 + 1:], lambda v: v::double)) as y from vectors),
+  split as materialized (select *, row_number() over (order by {twin.order_key(42, "post_id", tie="post_id")}) <= round_even(count(*) over () * 0.5::double, 0) as held
+    from flat where window_id in {FIRST}),
+  base as materialized (select avg(x) as x0, avg(y) as y0, covar_samp(x, x) as a0, covar_samp(x, y) as b0, covar_samp(y, y) as c0 from split where not held),
+  pool as materialized (select window_id, x - x0 as x, y - y0 as y, row_number() over (order by window_id, {KEYED}) - 1 as pos
+    from split cross join base where held),
+  groups as (select window_id, min(pos) as first, count(*) as n_rows from pool group by window_id),
+  sizes as materialized (select distinct least(count(*), 1000, (select count(*) from pool)) as size from vectors group by window_id),
+  eligible as (select size, first, n_rows, row_number() over (partition by size order by window_id) - 1 as turn, count(*) over (partition by size) as turns
+    from sizes join groups on n_rows >= size),
+  draws as (select s.size, draw, md5('42#' || s.size || '#' || draw) as d, coalesce(first, 0) as first, coalesce(n_rows, (select count(*) from pool)) as n_rows
+    from sizes s cross join (select unnest(range(1000)) as draw) left join eligible e on e.size = s.size and e.turn = draw % turns),
+  places as (select size, draw, first + {slot_place("n_rows", "size")} as pos from (select *, unnest(range(size)) as j from draws)),
+  drawn as (select size, draw, {_MOMENTS} from places join pool using (pos) group by size, draw),
+  scored as materialized (select size, draw, case when n > 1 then {_plane_distance()} end as statistic from drawn cross join base),
+  limits as (select size, quantile_cont(statistic, 0.99) as threshold from scored where statistic is not null group by size)"""
+
+
+def _plane_vectors(spark, sf_dir):
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    def total(part):
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    halves = F.array(total(F.slice("embedding", F.lit(1), half)), total(F.slice("embedding", half + 1, F.size("embedding"))))
+    return _vectors(spark, sf_dir).withColumn("embedding", halves)
+
+
+def _plane_sizes(vectors, model):
+    return vectors.groupBy("window_id").agg(F.least(
+        F.count("*"), F.lit(FRECHET.window_sample_size), F.lit(model.pool.size)).alias("size"))
+
+
+@query(sql=_PLANE + " select size, draw, round(statistic, 6) as statistic from scored")
+def calibration_scores_plane(spark, sf_dir):
+    """Every calibration draw of the plane detector, for every sample size that occurs."""
+    vectors = _plane_vectors(spark, sf_dir)
+    model = fd.fit_frechet(_split(vectors)[1], FRECHET)
+    scores = fd.calibration_scores(model, _plane_sizes(vectors, model))
+    return scores.withColumn("statistic", F.round(F.when(~F.isnan("statistic"), F.col("statistic")), 6))
+
+
+@query(sql=_PLANE + " select size, round(threshold, 6) as threshold from limits")
+def calibrate_plane(spark, sf_dir):
+    vectors = _plane_vectors(spark, sf_dir)
+    model = fd.fit_frechet(_split(vectors)[1], FRECHET)
+    return fd.calibrate(model, _plane_sizes(vectors, model).filter("size >= 2")).withColumn("threshold", F.round("threshold", 6))
+
+
+@query(sql=_PLANE + f""",
+  sampled as (select window_id, x - x0 as x, y - y0 as y from (select *, row_number() over (partition by window_id order by {KEYED}) as rn from flat) cross join base
+    where rn <= least(1000, (select count(*) from pool))),
+  own as (select window_id, {_MOMENTS} from sampled group by window_id),
+  measured as (select window_id, n, case when n > 1 then {_plane_distance()} end as score from own cross join base)
+select window_id, round(score, 6) as driftlens_score, coalesce(score > threshold, false) as driftlens_alarm, round(threshold, 6) as threshold, n as n_used
+from measured left join limits on size = n and n > 1""")
+def driftlens_score_plane(spark, sf_dir):
+    """Score, threshold and alarm of every window by the plane detector."""
+    vectors = _plane_vectors(spark, sf_dir)
+    return fd.driftlens_score(vectors, fd.fit_frechet(_split(vectors)[1], FRECHET))
+
+
 @query("driftlens_used", sql=f"""
 select window_id, least(least(n, 1000), pool) as n_used from (select window_id, count(*) as n from vectors group by window_id)
 cross join (select cast(round_even(count(*) * 0.5::double, 0) as bigint) as pool from vectors where window_id in {FIRST})""")
