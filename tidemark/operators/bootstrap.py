@@ -147,7 +147,7 @@ def run_draws(keys: DataFrame, n_draws: int, pool: Pool, sets_of: Callable, fold
     """Every key (bigint columns) with `draw` 0 .. n_draws - 1 and the `statistic` of each draw.
 
     sets_of(key: dict, draw) -> the draw's sets; prepare(rows) maps pool rows one by one;
-    fold(list of prepared rows, one entry a set) -> matrix of bounded size, the share of a block in a draw;
+    fold(list of prepared rows, one entry a set; whether the draw lies in this block) -> matrix of bounded size;
     finish(key: dict, list of shares) -> float.
     """
     spark, names = keys.sparkSession, keys.columns
@@ -179,8 +179,9 @@ def run_draws(keys: DataFrame, n_draws: int, pool: Pool, sets_of: Callable, fold
                 count = sum(map(len, served))
                 if not count:
                     continue
-                share = fold([ready[s] for s in served])
-                if count == sum(s.size for s in sets):
+                whole = count == sum(s.size for s in sets)
+                share = fold([ready[s] for s in served], whole)
+                if whole:
                     waiting.append((*values, draw, finish(key, [share]), None, None))
                 else:
                     waiting.append((*values, draw, None, share.shape[1], share.ravel()))

@@ -140,8 +140,12 @@ def heldout_pool(held: DataFrame, width: int, seed: int) -> bs.Pool:
     return bs.make_pool(keyed.select(F.col("window_id").alias("grp"), "order_key", F.col("embedding").alias("vec")), width)
 
 
-def fit_concept(reference: DataFrame, params: ConceptParams = ConceptParams(), meta: dict | None = None) -> ConceptModel:
-    """Standardise, split every reference window into training and held-out rows, train, build the pool."""
+def fit_concept(reference: DataFrame, params: ConceptParams = ConceptParams(), meta: dict | None = None,
+                members: list[dict] | None = None) -> ConceptModel:
+    """Standardise, split every reference window into training and held-out rows, train, build the pool.
+
+    Given `members` are used as they are, without training.
+    """
     rows = reference.select("window_id", "post_id", "embedding")
     scaler = fit_scaler(rows).first()
     mean, std = np.asarray(scaler["mean"]), np.asarray(scaler["std"])
@@ -150,8 +154,9 @@ def fit_concept(reference: DataFrame, params: ConceptParams = ConceptParams(), m
     counts = {r["is_heldout"]: r["rows"] for r in sizes}
     if counts.get(True, 0) < 2 or counts.get(False, 0) < 2:
         raise ValueError(f"reference set too small ({scaler['n']} vectors)")
-    members, losses = init_weights(len(mean), params), []
-    if params.train_epochs > 0:
+    given, losses = members is not None, []
+    members = members or init_weights(len(mean), params)
+    if params.train_epochs > 0 and not given:
         from tidemark.operators.training import train_encoder
 
         members, losses = train_encoder(split.filter("NOT is_heldout"), mean, std, members, params)
@@ -192,13 +197,12 @@ def calibration_scores(model: ConceptModel, keys: DataFrame) -> DataFrame:
     """
     layout = bs.Pool(None, model.pool.groups, model.pool.counts, model.pool.width)       # travels without its frame
     seed, members, mean, std = model.params.seed, model.members, model.mean, model.std
-    single = [{name: part.astype(np.float32) for name, part in w.items()} for w in members]
 
     def prepare(rows: np.ndarray) -> np.ndarray:
-        return item_features(((rows - mean) / std).astype(np.float32), single)
+        return item_features((rows - mean) / std, members)
 
-    def fold(sets: list[np.ndarray]) -> np.ndarray:
-        return np.stack([s.sum(axis=0, dtype=np.float64) for s in sets])
+    def fold(sets: list[np.ndarray], whole: bool) -> np.ndarray:
+        return np.stack([s.sum(axis=0) for s in sets])
 
     def finish(key: dict, shares: list[np.ndarray]) -> float:
         concepts = concept_vectors(np.sum(shares, axis=0) / key["size"], members)

@@ -132,10 +132,13 @@ def drawn_set(pool: bs.Pool, seed: int, size: int, draw: int) -> bs.Draw:
     return bs.Draw(f"{seed}#{size}#{draw}", first, rows, size, size)
 
 
-def fold_rows(rows: np.ndarray) -> np.ndarray:
-    """Rows with a leading one, or the triangular factor with the same products once there are more rows than columns."""
+def fold_rows(rows: np.ndarray, whole: bool = False) -> np.ndarray:
+    """Rows with a leading one, or the triangular factor with the same products once there are more rows than columns.
+
+    The factor of a `whole` draw is not needed, nothing else joins it.
+    """
     full = np.column_stack([np.ones(len(rows)), rows])
-    return full if len(full) <= full.shape[1] else np.linalg.qr(full, mode="r")
+    return full if whole or len(full) <= full.shape[1] else np.linalg.qr(full, mode="r")
 
 
 def moments_of(shares: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -163,7 +166,7 @@ def calibration_scores(model: FrechetModel, sizes: DataFrame) -> DataFrame:
 
     keys = sizes.select(F.col("size").cast("long").alias("size"))
     return bs.run_draws(keys, model.params.n_calibration, model.pool,
-                        lambda key, draw: [drawn_set(layout, seed, key["size"], draw)], lambda sets: fold_rows(sets[0]), finish)
+                        lambda key, draw: [drawn_set(layout, seed, key["size"], draw)], lambda sets, whole: fold_rows(sets[0], whole), finish)
 
 
 def calibrate(model: FrechetModel, sizes: DataFrame) -> DataFrame:

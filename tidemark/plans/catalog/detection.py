@@ -12,7 +12,7 @@ from tidemark.plans import datasets as ds, scoring
 from tidemark.plans.catalog import query
 from tidemark.plans.catalog import sql as twin
 from tidemark.plans.catalog.ingestion import scratch
-from tidemark.plans.catalog.vectors import KEYED
+from tidemark.plans.catalog.vectors import KEYED, fixed_set_layers, fixed_weights
 from tidemark.session import cut_lineage
 from tidemark.sinks import models
 
@@ -237,6 +237,66 @@ def calibrate_mcd(spark, sf_dir):
     return cd.calibrate(model, keys).withColumn("threshold", F.round("threshold", 6))
 
 
+# Sets of 11 (ten of context and the scored one) at a size for each way of drawing them: distinct windows, disjoint pooled
+# sets, independent sets. The encoder is small and fixed, the draws and the discrepancy are those of the detector.
+SMALL = cd.ConceptParams(hidden_dim=8, output_dim=4, n_encoders=2)
+_SET_SCORES = f"""
+with ref as materialized (select *, row_number() over (partition by window_id order by {KEYED}) as place, count(*) over (partition by window_id) as n
+    from vectors where window_id in {FIRST}),
+  scaler as materialized (select list(m order by i) as mu, list(s order by i) as sd from (select i, avg(x) as m, sqrt(var_pop(x)) + 1e-6 as s from (
+    select unnest(embedding)::double as x, unnest(range(len(embedding))) as i from ref) group by i)),
+  held as materialized (select window_id, row_number() over (order by window_id, {KEYED}) - 1 as pos,
+    list_transform(range(len(embedding)), lambda i: (embedding[i + 1]::double - mu[i + 1]) / sd[i + 1]) as z
+    from ref, scaler where place <= round_even(n * 0.8::double, 0)),
+  item_w as materialized (select m, r, w, b from (select (select len(mu) from scaler) as d), lateral {fixed_weights(0, 2, 8, "d")}),
+  features as materialized (select pos, m, r, greatest(0, list_inner_product(z, w) + b) as f from held, item_w),
+  groups as materialized (select window_id, min(pos) as first, count(*) as n_rows from held group by window_id),
+  wanted as (select distinct least(size, 1000) as size, t from (select min(n_rows) // 2 as size from groups union all
+    select max(n_rows) // 2 + 1 from groups union all select count(*) // 11 + 1 from held) cross join (select count(*) as t from held)),
+  regimes as materialized (select size, t, case when (select count(*) from groups where n_rows >= 2 * size) >= 11 then 'windows'
+    when t >= 11 * size then 'disjoint' else 'independent' end as regime from wanted),
+  draws as (select size, t, regime, draw, '42#' || size || '#10#' || draw as salt from regimes cross join (select unnest(range(500)) as draw)),
+  large as (select size, first, n_rows, row_number() over (partition by size order by window_id) - 1 as e, count(*) over (partition by size) as n_e
+    from regimes join groups on n_rows >= 2 * size where regime = 'windows'),
+  picked as (select size, draw, salt, {slot_place("n_e", "11")} as e from (select size, draw, salt, n_e, md5(salt || '#windows') as d, unnest(range(11)) as j
+    from draws join (select distinct size, n_e from large) using (size))),
+  chosen as (select size, draw, salt, first, n_rows, row_number() over (partition by size, draw order by e) - 1 as s from picked join large using (size, e)),
+  pooled_sets as (select *, unnest(range(11)) as s from draws where regime <> 'windows'),
+  places as (
+    select size, draw, s, first + {slot_place("n_rows", "size")} as pos from (select *, md5(salt || '#' || s) as d, unnest(range(size)) as j from chosen)
+    union all select size, draw, s, {slot_place("t", "11 * size")} from (select size, draw, s, t, md5(salt) as d, s + 11 * unnest(range(size)) as j
+      from pooled_sets where regime = 'disjoint')
+    union all select size, draw, s, {slot_place("t", "size")} from (select size, draw, s, t, md5(salt || '#' || s) as d, unnest(range(size)) as j
+      from pooled_sets where regime = 'independent')),
+  pooled as (select size, draw, s, m, list(f order by r) as p from (
+    select size, draw, s, m, r, avg(f) as f from places join features using (pos) group by all) group by all),
+  {fixed_set_layers("size, draw, s", 8, 4, 2)},
+  encoded as materialized (select size, draw, s, flatten(list(v order by m)) as v from concepts group by all),
+  set_scores as (select a.size, a.draw, max(list_distance(a.v, b.v)) as statistic from encoded a join encoded b on a.size = b.size and a.draw = b.draw
+    where b.s = 10 and a.s < 10 group by all)"""
+
+
+def _small_model(spark, sf_dir):
+    """Detector B with the small fixed encoder, and a key for each way of drawing."""
+    _, reference, _ = _split(_vectors(spark, sf_dir))
+    width = reference.select(F.size("embedding")).first()[0]
+    model = cd.fit_concept(reference, SMALL, members=cd.fixed_members(width, SMALL))
+    counts = model.pool.counts
+    sizes = sorted({min(int(n), SMALL.scoring_sample_size) for n in (counts.min() // 2, counts.max() // 2 + 1, counts.sum() // 11 + 1)})
+    return model, spark.createDataFrame([(n, SMALL.context_windows) for n in sizes], "size bigint, n_context bigint")
+
+
+@query(sql=_SET_SCORES + " select size, 10::bigint as n_context, draw, round(statistic, 6) as statistic from set_scores")
+def calibration_scores_mcd_fixed(spark, sf_dir):
+    """Every calibration draw of detector B with a fixed encoder: distinct windows, disjoint sets, independent sets."""
+    return cd.calibration_scores(*_small_model(spark, sf_dir)).withColumn("statistic", F.round("statistic", 6))
+
+
+@query(sql=_SET_SCORES + " select size, 10::bigint as n_context, round(quantile_cont(statistic, 0.99), 6) as threshold from set_scores group by size")
+def calibrate_mcd_fixed(spark, sf_dir):
+    return cd.calibrate(*_small_model(spark, sf_dir)).withColumn("threshold", F.round("threshold", 6))
+
+
 @query()
 def mcd_score(spark, sf_dir):
     _, reference, stream = _split(_vectors(spark, sf_dir))

@@ -113,29 +113,37 @@ def p_threshold(spark, sf_dir):
     return bs.p_threshold(ds.table(spark, sf_dir, "events"), ["event_type"], 99.0, "value").withColumn("threshold", F.round("threshold", 6))
 
 
+def fixed_weights(layer: int, members: int, rows: int, cols: str) -> str:
+    """(m, r, w, b): one layer of the fixed encoder."""
+    def w(c: str) -> str:
+        k = f"(1009 * r + 917 * {c} + 613 * {layer} + 307 * m + 1)"
+        return f"((({k} * {k} + 3 * {k}) % 2003 - 1001) / 1001.0::double / sqrt({cols}))"
+    return f"(select m, r, list_transform(range({cols}), lambda c: {w('c')}) w, {w(cols)} b from range({members}) t(m), range({rows}) u(r))"
+
+
+def fixed_set_layers(keys: str, hidden: int, output: int, members: int) -> str:
+    """`concepts` (keys, m, v) from `pooled` (keys, m, p): the layers above the mean of a set."""
+    def layer(number: int, rows: int) -> str:
+        return fixed_weights(number, members, rows, str(hidden))
+    return f"""mixed as (select {keys}, m, list(list_inner_product(p, w) + b order by r) v from pooled join {layer(1, hidden)} using (m) group by all),
+hidden as (select {keys}, m, list(greatest(0, list_inner_product(v, w) + b) order by r) v from mixed join {layer(2, hidden)} using (m) group by all),
+concepts as (select {keys}, m, list((list_inner_product(v, w) + b) / sqrt({members}) order by r) v
+             from hidden join {layer(3, output)} using (m) group by all)"""
+
+
 def _fixed_encoder(hidden: int, output: int, members: int, sizes: str) -> str:
     """Concept vectors in SQL: (window_id, size, m, v) of the fixed encoder for `sizes` (window_id, size)."""
-    def weights(layer: int, rows: int, cols: str) -> str:
-        def w(c: str) -> str:
-            k = f"(1009 * r + 917 * {c} + 613 * {layer} + 307 * m + 1)"
-            return f"((({k} * {k} + 3 * {k}) % 2003 - 1001) / 1001.0::double / sqrt({cols}))"
-        return f"(select m, r, list_transform(range({cols}), lambda c: {w('c')}) w, {w(cols)} b from range({members}) t(m), range({rows}) u(r))"
-
-    dim = "(select len(mu) from scaler)"
     return f"""
 scaler as (select list(m order by i) mu, list(s order by i) sd from ({_SCALER})),
 rows as (select window_id, row_number() over (partition by window_id order by {KEYED}) as rn,
          list_transform(range(len(embedding)), lambda i: (embedding[i + 1]::double - mu[i + 1]) / sd[i + 1]) z from vectors, scaler),
 sets as (select * from rows where rn <= 1000),
 sizes as ({sizes}),
-item_w as (select m, r, w, b from (select {dim} d), lateral {weights(0, hidden, "d")}),
+item_w as (select m, r, w, b from (select (select len(mu) from scaler) d), lateral {fixed_weights(0, members, hidden, "d")}),
 features as (select window_id, rn, m, r, greatest(0, list_inner_product(z, w) + b) f from sets, item_w),
 pooled as (select window_id, size, m, list(f order by r) p from (
     select window_id, size, m, r, avg(f) f from features join sizes using (window_id) where rn <= size group by all) group by all),
-mixed as (select window_id, size, m, list(list_inner_product(p, w) + b order by r) v from pooled join {weights(1, hidden, str(hidden))} using (m) group by all),
-hidden as (select window_id, size, m, list(greatest(0, list_inner_product(v, w) + b) order by r) v from mixed join {weights(2, hidden, str(hidden))} using (m) group by all),
-concepts as (select window_id, size, m, list((list_inner_product(v, w) + b) / sqrt({members}) order by r) v
-             from hidden join {weights(3, output, str(hidden))} using (m) group by all)"""
+{fixed_set_layers("window_id, size", hidden, output, members)}"""
 
 
 _OWN_SIZE = "select window_id, least(count(*), 1000) as size from vectors group by window_id"
