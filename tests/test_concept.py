@@ -145,6 +145,27 @@ def test_training_lowers_the_loss_on_both_paths(spark, frame):
     assert np.allclose(near[:2], far)
 
 
+@pytest.mark.parametrize("limit", [0, tr.BROADCAST_BYTES])
+def test_a_step_sends_one_gradient_to_the_driver(spark, frame, monkeypatch, limit):
+    rng = np.random.default_rng(9)
+    params = cd.ConceptParams(**{**vars(FAST), "train_epochs": 1})
+    rows, mean, std = frame({w: unit(rng, 40, 0.5 * w) for w in range(4)}), np.zeros(DIM), np.full(DIM, 0.2)
+    pool = tr.training_pool(cd.sub_windows(rows, 5), mean, std, params.seed)
+    pool = tr.TrainingPool(pool.frame, pool.groups, pool.counts, pool.width, limit=limit)
+    kind, collected = type(pool.frame), []
+    collect = kind.collect
+
+    def counted(self):
+        found = collect(self)
+        collected.extend(len(r["gradient"]) for r in found if "gradient" in self.columns)
+        return found
+
+    monkeypatch.setattr(kind, "collect", counted)
+    members = cd.init_weights(DIM, params)
+    tr.step_gradient(pool, members, 0, params, 4)
+    assert collected == [flat_weights(members).nbytes]
+
+
 def test_too_small_reference(frame):
     with pytest.raises(ValueError):
         cd.fit_concept(frame({1: np.zeros((1, DIM))}), FAST)
