@@ -239,3 +239,34 @@ def test_period_filter_reaches_the_scan(spark, tmp_path):
     assert [r["n"] for r in kept.orderBy("n").collect()] == [1, 2]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(window_start,2020-04-19)" in plan and "LessThan(window_start,2020" in plan
+
+
+def test_texts_of_keys_that_come_once_are_not_shuffled(spark):
+    rows = [("a", "2024-01-01 10:00:00", "x", "s"), ("a", "2024-01-01 10:00:00", "x", "s"), ("b", "2024-01-01", "y", "s"),
+            ("b", "2024-01-01T00:00:00", "y", "s"), ("c", "2024-01-02 00:00:00", "z", "s"), (None, "2024-01-02", "n", "s"),
+            (None, "2024-01-02", "n", "s"), ("d", "bad", "t", "s"), ("d", "bad", "t", "s"), ("e", "2024-01-02", "#", None)]
+    messages = spark.createDataFrame(rows, "post_id string, timestamp string, text string, source string")
+    posts = wd.posts_from_messages(messages, "1 day")
+    assert sorted((r["post_id"], r["text"], r["window_id"]) for r in posts.collect()) == [
+        ("a", "x", 19723), ("b", "y", 19723), ("c", "z", 19724), ("e", "#", 19724)]
+    single = wd.posts_from_messages(messages.filter("post_id = 'c'"), "1 day")
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
+    assert plan.index("Union") < plan.index("Aggregate")              # only the branch of repeated keys is deduplicated
+
+
+def test_part_search_counts_like_a_filter(spark):
+    begins = [3, 5, 8, 13, 21]
+    rows = spark.createDataFrame([(k, begins[:n] if n >= 0 else None) for k in range(25) for n in range(-1, 6)], "here int, begins array<int>")
+    plain = F.greatest(F.coalesce(F.size(F.filter("begins", lambda b: b <= F.col("here"))), F.lit(0)), F.lit(0))
+    assert rows.filter(wd._part_of(F.col("begins"), F.col("here")) != plain).count() == 0
+
+
+def test_marks_never_change_a_cleaning(spark):
+    texts = [None, "", "  RT @u: Hi", "see HTTP://x.y www.z", "#a ##b # c", "wow!!! ?? . ..", "x &amp;amp; y", "a\t\n b\x0b\fc\rd", " x  y", "@@a @"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.lower("text")
+    for pattern, replacement in tx.CLEANING_RULES:
+        plain = F.regexp_replace(plain, pattern, replacement)
+    assert rows.filter(~F.trim(plain).eqNullSafe(tx.clean_text(F.col("text")))).count() == 0
+    assert len(tx.RULE_MARKS) == len(tx.CLEANING_RULES)
