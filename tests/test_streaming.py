@@ -202,3 +202,29 @@ def test_representatives(spark, vectors):
     centre = np.mean(list(x.values()), axis=0)
     best = sorted(x, key=lambda p: -x[p] @ centre / np.linalg.norm(x[p]))[:3]
     assert [r["post_id"] for r in rows] == best
+
+
+def test_streamed_windows_keep_no_texts_in_state(spark, tmp_path, monkeypatch):
+    """State holds ids only; posts wait in files until their window closes, then leave; a large window comes in parts."""
+    monkeypatch.setattr(wd.nested_windows, "__defaults__", (3, 1 << 20))
+    source, out = tmp_path / "in", tmp_path / "out"
+
+    def run():
+        query = sw.start_windows(sw.windows_stream(read_json_stream(spark, str(source)), "1 day"), str(out), str(tmp_path / "cp"))
+        query.awaitTermination()
+        return query
+
+    def waiting():
+        return sorted(spark.read.parquet(str(out / "_open")).filter("text is not null").toPandas()["post_id"])
+
+    first = [(f"a{k}", f"2020-04-19 10:00:0{k}", f"text {k} " + "x" * 10_000) for k in range(8)]
+    write_messages(source, first + [("b0", "2020-04-20 01:00:00", "next day")])
+    state = [o for p in run().recentProgress for o in json.loads(p.json)["stateOperators"]]
+    assert {o["operatorName"] for o in state} == {"dedupe"} and max(o["memoryUsedBytes"] for o in state) < 8 * 10_000
+    rows = read_windows(spark, str(out)).orderBy("part").collect()
+    assert [(r["part"], r["part_offset"], r["post_count"], r["post_ids"]) for r in rows] == [
+        (0, 0, 8, ["a0", "a1", "a2"]), (1, 3, 8, ["a3", "a4", "a5"]), (2, 6, 8, ["a6", "a7"])]
+    write_messages(source, [("b1", "2020-04-20 00:30:00", "late"), ("b2", "2020-04-20 02:00:00", "more"), ("c0", "2020-04-21", "end")], "part-1.json")
+    run()
+    assert waiting() == ["c0"]
+    assert {r["post_ids"][0]: r["texts"][1:] for r in read_windows(spark, str(out)).filter("post_count = 2").collect()} == {"b0": ["more"]}
