@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = (1 << 20) - 1       # tables of powers for it have 2**20 entries
+SMALL_BLOCK_BYTES = (1 << 18) - 1      # for steps with many arrays beside a text
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -13,7 +14,10 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows whose texts hold at most `limit` bytes together; a longer text comes alone."""
+    """Consecutive rows whose texts hold at most `limit` bytes together; a longer text comes alone.
+
+    What Arrow holds of earlier batches goes back to the system, for the worker shares an executor's memory.
+    """
     for batch in batches:
         total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
@@ -22,6 +26,8 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             end = max(start + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+        del batch, total
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -66,7 +66,7 @@ def _alike(left: str, right: str, percent: int) -> Column:
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tb.blocks(batches, "text"):
+        for block in tb.blocks(batches, "text", tb.SMALL_BLOCK_BYTES):
             values, rows = shingle_sets(block.column("text"), n)
             owners, lines = signatures(values, rows)
             bands = np.full((len(owners), 2 * N_PERMUTATIONS // BAND), 7, np.uint64) + np.arange(2 * N_PERMUTATIONS // BAND, dtype=np.uint64)
@@ -92,7 +92,7 @@ def _sketch(n: int):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tb.blocks(batches, "text"):
+        for block in tb.blocks(batches, "text", tb.SMALL_BLOCK_BYTES):
             values, rows = shingle_sets(block.column("text"), n)
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), tb.lists(values.view(np.int64), rows, block.num_rows, pa.int64())], names=["doc_id", "shingles"])

@@ -97,7 +97,7 @@ def text_features(column: pa.Array) -> dict[str, np.ndarray]:
 
 def _measure(mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.blocks(batches, "text"):
+        for batch in tb.blocks(batches, "text", tb.SMALL_BLOCK_BYTES):
             found = text_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(found[f], pa.int64()) for f in FEATURES)], names=[*batch.schema.names, *(mark + f for f in FEATURES)])
