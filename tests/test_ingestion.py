@@ -270,3 +270,15 @@ def test_marks_never_change_a_cleaning(spark):
         plain = F.regexp_replace(plain, pattern, replacement)
     assert rows.filter(~F.trim(plain).eqNullSafe(tx.clean_text(F.col("text")))).count() == 0
     assert len(tx.RULE_MARKS) == len(tx.CLEANING_RULES)
+
+
+def test_many_csv_files_need_one_header_job_for_each_header(spark, tmp_path, monkeypatch):
+    from tidemark.sources import posts
+    for k in range(12):
+        names = "a,b" if k % 2 else "b,a"
+        (tmp_path / f"p{k:02d}.csv").write_text(("\n" if k == 4 else "") + f'{names}\n"x\n{k}",y\n')
+    asked, header = [], posts._header
+    monkeypatch.setattr(posts, "_header", lambda spark, file: asked.append(file) or header(spark, file))
+    rows = posts.read_posts_csv(spark, str(tmp_path)).select("a", "b").collect()
+    assert len(asked) == 2 and sorted(r["a"] for r in rows if r["b"] == "y") == sorted(f"x\n{k}" for k in range(1, 12, 2))
+    assert sum(r["a"] == "y" for r in rows) == 6
