@@ -282,3 +282,10 @@ def test_many_csv_files_need_one_header_job_for_each_header(spark, tmp_path, mon
     rows = posts.read_posts_csv(spark, str(tmp_path)).select("a", "b").collect()
     assert len(asked) == 2 and sorted(r["a"] for r in rows if r["b"] == "y") == sorted(f"x\n{k}" for k in range(1, 12, 2))
     assert sum(r["a"] == "y" for r in rows) == 6
+
+
+def test_published_files_are_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([("tweet_2", "2020-01-02", "b", "s"), ("tweet_1", "2020-01-01", "a", "s")], "post_id string, timestamp string, text string, source string")
+    files.publish(rows, str(tmp_path / "t"))
+    assert [p.parent.name for p in sorted(tmp_path.glob("t/day=*/*.json.gz"))] == ["day=2020-01-01", "day=2020-01-02"]
+    assert {r["key"] for r in spark.read.json(str(tmp_path / "t")).collect()} == {"tweet_1", "tweet_2"}
