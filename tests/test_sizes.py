@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators import injection as inj
+from tidemark.operators import injection as inj, windowing as wd
 from tidemark.plans.catalog import streams
 
 
@@ -68,3 +68,21 @@ def test_injected_rows_of_one_order_key_stay_in_one_part(spark):
     assert [r["part"] for r in parts] == list(range(len(parts))) and len(parts) > 1
     assert [r["part_offset"] for r in parts] == [sum(len(q["texts"]) for q in parts[:i]) for i in range(len(parts))]
     assert [t for r in parts for t in r["texts"]] == [r[7] for r in sorted(rows, key=lambda r: (r[8], r[6], r[7]))]
+
+
+def posts_of_days(spark, n):
+    rows = [(f"p{i:03d}", f"2020-04-{19 + i % 2} 00:00:{i % 60:02d}", f"text {i}", "s") for i in range(n)]
+    return wd.posts_from_messages(spark.createDataFrame(rows, "post_id string, timestamp string, text string, source string"), "1 day")
+
+
+def test_small_parts_need_no_long_list_of_their_beginnings(spark, monkeypatch):
+    posts = posts_of_days(spark, 90)
+    assert wd._layout(posts, 2, wd.MAX_PART_BYTES).filter("begins IS NOT NULL").isEmpty()
+    plain = {r["window_id"]: r for r in wd.build_windows(posts).collect()}
+    monkeypatch.setattr(wd, "MAX_PART_ROWS", 20)       # a stretch is six parts of three posts
+    assert {len(r["begins"]) for r in wd._layout(posts, 3, wd.MAX_PART_BYTES).collect()} == {2}
+    parts = wd.build_windows(posts, max_part_rows=3).collect()
+    for window_id, whole in plain.items():
+        mine = sorted((r for r in parts if r["window_id"] == window_id), key=lambda r: r["part"])
+        assert [(r["part"], r["part_offset"], len(r["texts"])) for r in mine] == [(i, 3 * i, 3) for i in range(15)]
+        assert [i for r in mine for i in r["post_ids"]] == whole["post_ids"] and [t for r in mine for t in r["texts"]] == whole["texts"]
