@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 import pytest
 
 from tidemark.operators import injection as inj, windowing as wd
-from tidemark.plans.catalog import streams
+from tidemark.plans.catalog import ingestion, streams
+from tidemark.sinks import files
+from tidemark.sources.posts import read_posts_csv, with_row_index
 
 
 @pytest.fixture
@@ -33,6 +35,22 @@ def test_late_messages_are_stored_compressed(spark, tables, tmp_path, monkeypatc
     assert stored and all(p.name.endswith(".json.gz") for p in stored)
 
 
+def test_csv_row_index_stores_no_plain_texts(spark, tables, tmp_path, monkeypatch):
+    into(tmp_path, monkeypatch, ingestion)
+    rows = ingestion.csv_row_index(spark, tables).collect()
+    assert sorted(r["place"] for r in rows) == list(range(len(rows))) and len(rows) >= 58
+    stored = list((tmp_path / "scratch/csv").glob("part-*"))
+    assert stored and all(p.name.endswith(".csv.gz") for p in stored)
+
+
+def test_compressed_csv_is_read_as_plain_csv_is(spark, tmp_path):
+    rows = spark.createDataFrame([(f"2024-01-0{i}", f' quoted "text", {i}\nnext line ') for i in range(1, 7)], "created_at string, original_text string").coalesce(1)
+    files.write_csv(rows, f"{tmp_path}/plain")
+    files.write_csv(rows, f"{tmp_path}/packed", "gzip")
+    found = [{tuple(r) for r in with_row_index(read_posts_csv(spark, f"{tmp_path}/{name}")).collect()} for name in ("plain", "packed")]
+    assert found[0] == found[1] and len(found[0]) == 6
+
+
 def stored_columns(monkeypatch, module):
     """Columns of every table that the module stores from here on."""
     store, seen = module.cut_lineage, []
