@@ -1,9 +1,10 @@
 """What queries and operators keep on disk and on the driver."""
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
-from tidemark.operators import injection as inj, windowing as wd
+from tidemark.operators import concept as cd, injection as inj, training as tr, windowing as wd
 from tidemark.plans.catalog import ingestion, streams
 from tidemark.sinks import files
 from tidemark.sources.posts import read_posts_csv, with_row_index
@@ -104,3 +105,21 @@ def test_small_parts_need_no_long_list_of_their_beginnings(spark, monkeypatch):
         mine = sorted((r for r in parts if r["window_id"] == window_id), key=lambda r: r["part"])
         assert [(r["part"], r["part_offset"], len(r["texts"])) for r in mine] == [(i, 3 * i, 3) for i in range(15)]
         assert [i for r in mine for i in r["post_ids"]] == whole["post_ids"] and [t for r in mine for t in r["texts"]] == whole["texts"]
+
+
+@pytest.mark.parametrize("limit", [0, tr.BROADCAST_BYTES])
+def test_training_leaves_nothing_on_the_driver(spark, frame, monkeypatch, limit):
+    sent, send = [], type(spark.sparkContext).broadcast
+
+    def remembered(self, value):
+        sent.append(send(self, value))
+        return sent[-1]
+
+    rng = np.random.default_rng(3)
+    params = cd.ConceptParams(hidden_dim=8, output_dim=4, n_encoders=2, sample_set_size=5, k_pairs=2, train_epochs=3)
+    rows = frame({w: rng.standard_normal((30, 6)) for w in range(4)})
+    pool = tr.training_pool(cd.sub_windows(rows, 5), np.zeros(6), np.ones(6), params.seed)
+    pool = tr.TrainingPool(pool.frame, pool.groups, pool.counts, pool.width, limit=limit)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", remembered)
+    tr.train_encoder(rows, np.zeros(6), np.ones(6), cd.init_weights(6, params), params, pool)
+    assert len(sent) >= 3 and not any(b._jbroadcast.isValid() for b in sent)
