@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import concept as cd, injection as inj, training as tr, windowing as wd
-from tidemark.plans.catalog import ingestion, streams
+from tidemark.plans.catalog import ingestion, streams, vectors
 from tidemark.sinks import files
 from tidemark.sources.posts import read_posts_csv, with_row_index
 
@@ -123,3 +123,11 @@ def test_training_leaves_nothing_on_the_driver(spark, frame, monkeypatch, limit)
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", remembered)
     tr.train_encoder(rows, np.zeros(6), np.ones(6), cd.init_weights(6, params), params, pool)
     assert len(sent) >= 3 and not any(b._jbroadcast.isValid() for b in sent)
+
+
+def test_cached_embedding_cleans_its_posts_once(spark, tables, tmp_path, monkeypatch):
+    into(tmp_path, monkeypatch, vectors)
+    seen = stored_columns(monkeypatch, vectors)
+    row = vectors.embed_cached(spark, tables).first()
+    assert seen == [["post_id", "event_time", "text"]]
+    assert row["n_posts"] == row["n_matched"] > 40 and 0 < row["n_cached"] <= 55
